@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_encoding
 from .packing import op7_best_fit_packing
+from .prefix_counts import op5_token_counts
+from .sketches import op6_document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_best_fit_packing, op10_bpe_encoding)
+    f.__name__: f for f in (op5_token_counts, op6_document_fingerprints, op7_best_fit_packing, op10_bpe_encoding)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -207,3 +207,41 @@ def class_table() -> np.ndarray:
     table[0xD800:0xE000] = SPECIAL
     table[list(WHITE_SPACE)] = SPACE
     return table
+
+
+#: The white space between the words of a text in the operators' contracts.
+WORD_GAPS = (32, *range(9, 14))
+
+
+@functools.cache
+def gap_table() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[list(WORD_GAPS)] = True
+    return table
+
+
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the joined texts, begin and end of each word, and each text's first word."""
+    cp = to_codepoints(" ".join(texts) + " ")
+    gap = gap_table()[cp]
+    start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    text_at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=text_at[1:])
+    return cp, start, end, np.searchsorted(start, text_at)
+
+
+def shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``width`` words, in text order, and each text's first shingle.
+
+    A text of fewer words has one shingle of all its words; one without words has none.
+    """
+    cp, start, end, word_at = word_spans(texts)
+    words = mix64(span_hash(prefix_hash(char_values()[cp]), start, end) + (end - start).astype(np.uint64))
+    n = np.diff(word_at)
+    count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    begin = spans(word_at[:-1], count)
+    size = np.repeat(np.minimum(n, width), count)
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(count, out=at[1:])
+    return mix64(span_hash(prefix_hash(words), begin, begin + size) + size.astype(np.uint64)), at
