@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe_encoding
 from .packing import op7_best_fit_packing
 from .prefix_counts import op5_token_counts
+from .quality import op2_quality_rules
 from .sketches import op6_document_fingerprints
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_counts, op6_document_fingerprints, op7_best_fit_packing, op8_warc_archives, op10_bpe_encoding)
+    f.__name__: f for f in (op2_quality_rules, op5_token_counts, op6_document_fingerprints, op7_best_fit_packing, op8_warc_archives, op10_bpe_encoding)
 }
 ORACLE_SQL: dict[str, str] = {"op8_warc_archives": WARC_SQL}
