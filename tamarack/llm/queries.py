@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe_encoding
 from .near import op4_ngram_jaccard_join
 from .packing import op7_best_fit_packing
+from .pii import op9_pii
 from .prefix_counts import op5_token_counts
 from .quality import op2_quality_rules
 from .sketches import op6_document_fingerprints
@@ -16,6 +17,6 @@ from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op6_document_fingerprints, op7_best_fit_packing, op8_warc_archives, op10_bpe_encoding)
+    f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op6_document_fingerprints, op7_best_fit_packing, op8_warc_archives, op9_pii, op10_bpe_encoding)
 }
 ORACLE_SQL: dict[str, str] = {"op8_warc_archives": WARC_SQL}
