@@ -54,37 +54,52 @@ add("iif", "orders", lambda: {"k": c("o_orderkey"), "v": F.when(c("o_totalprice"
 add("percent_diff", "part", lambda: {"k": c("p_partkey"), "d": F.round(numbers.percent_diff(c("p_size"), c("p_retailprice")), 6)}, "SELECT p_partkey AS k, CASE WHEN p_size = 0 THEN 'inf'::DOUBLE ELSE round((p_retailprice - p_size) / p_size * 100, 6) END AS d FROM part")
 add("random_range", "region", lambda: {"k": c("r_regionkey"), "ok": (F.rand() * F.lit(9.2e18)).cast("bigint") >= 0}, "SELECT r_regionkey AS k, true AS ok FROM region")
 # Dates, as text
-ship = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
-add("date_parts", "orders", lambda: {"k": c("o_orderkey"), "d": dates.date(ship), "t": dates.time(ship), "dt": dates.datetime(ship)}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt FROM orders")
-add("julian_epoch", "orders", lambda: {"k": c("o_orderkey"), "j": F.round(dates.julianday(ship), 6), "u": dates.unixepoch(ship)}, "SELECT o_orderkey AS k, round(epoch(o_orderdate) / 86400 + 2440587.5, 6) AS j, epoch(o_orderdate)::BIGINT AS u FROM orders")
-add("strftime_codes", "orders", lambda: {"k": c("o_orderkey"), "a": dates.strftime("%Y/%m/%d %H:%M:%S|%j|%w|%u|%%", ship), "b": dates.strftime("%F %T %R %G-%V", ship), "w": dates.strftime("%U %W", ship), "i": dates.strftime("%I %p %e", ship)}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S|%j|%w|%u|%%') AS a, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S %H:%M %G-%V') AS b, strftime(o_orderdate, '%U %W') AS w, strftime(o_orderdate, '%I %p ') || lpad(day(o_orderdate)::VARCHAR, 2, ' ') AS i FROM orders")
-add("modifiers_units", "orders", lambda: {"k": c("o_orderkey"), "a": dates.datetime(ship, "+10 days", "-3 hours"), "b": dates.datetime(ship, "+90 minutes", "+1.5 seconds"), "y": dates.date(dates.date(ship), "start of month", "+1 month", "-1 day")}, "SELECT o_orderkey AS k, strftime(o_orderdate + INTERVAL 10 DAY - INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate + INTERVAL 90 MINUTE + INTERVAL 1500 MILLISECOND, '%Y-%m-%d %H:%M:%S') AS b, strftime(last_day(o_orderdate), '%Y-%m-%d') AS y FROM orders")
-add("modifiers_months", "orders", lambda: {"k": c("o_orderkey"), "m": dates.date(dates.date(ship), "+1 month"), "y": dates.date(dates.date(ship), "-1 year")}, "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(day(o_orderdate)::INT - 1), '%Y-%m-%d') AS m, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 YEAR + to_days(day(o_orderdate)::INT - 1), '%Y-%m-%d') AS y FROM orders")
-add("modifiers_start_weekday", "orders", lambda: {"k": c("o_orderkey"), "s": dates.date(ship, "start of year"), "m": dates.datetime(ship, "start of day"), "w": dates.date(ship, "weekday 1")}, "SELECT o_orderkey AS k, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS s, strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') AS m, strftime(o_orderdate + to_days(((8 - dayofweek(o_orderdate)) % 7)::INT), '%Y-%m-%d') AS w FROM orders")
+
+
+def ship() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+
+
+add("date_parts", "orders", lambda: {"k": c("o_orderkey"), "d": dates.date(ship()), "t": dates.time(ship()), "dt": dates.datetime(ship())}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt FROM orders")
+add("julian_epoch", "orders", lambda: {"k": c("o_orderkey"), "j": F.round(dates.julianday(ship()), 6), "u": dates.unixepoch(ship())}, "SELECT o_orderkey AS k, round(epoch(o_orderdate) / 86400 + 2440587.5, 6) AS j, epoch(o_orderdate)::BIGINT AS u FROM orders")
+add("strftime_codes", "orders", lambda: {"k": c("o_orderkey"), "a": dates.strftime("%Y/%m/%d %H:%M:%S|%j|%w|%u|%%", ship()), "b": dates.strftime("%F %T %R %G-%V", ship()), "w": dates.strftime("%U %W", ship()), "i": dates.strftime("%I %p %e", ship())}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S|%j|%w|%u|%%') AS a, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S %H:%M %G-%V') AS b, strftime(o_orderdate, '%U %W') AS w, strftime(o_orderdate, '%I %p ') || lpad(day(o_orderdate)::VARCHAR, 2, ' ') AS i FROM orders")
+add("modifiers_units", "orders", lambda: {"k": c("o_orderkey"), "a": dates.datetime(ship(), "+10 days", "-3 hours"), "b": dates.datetime(ship(), "+90 minutes", "+1.5 seconds"), "y": dates.date(dates.date(ship()), "start of month", "+1 month", "-1 day")}, "SELECT o_orderkey AS k, strftime(o_orderdate + INTERVAL 10 DAY - INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate + INTERVAL 90 MINUTE + INTERVAL 1500 MILLISECOND, '%Y-%m-%d %H:%M:%S') AS b, strftime(last_day(o_orderdate), '%Y-%m-%d') AS y FROM orders")
+add("modifiers_months", "orders", lambda: {"k": c("o_orderkey"), "m": dates.date(dates.date(ship()), "+1 month"), "y": dates.date(dates.date(ship()), "-1 year")}, "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(day(o_orderdate)::INT - 1), '%Y-%m-%d') AS m, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 YEAR + to_days(day(o_orderdate)::INT - 1), '%Y-%m-%d') AS y FROM orders")
+add("modifiers_start_weekday", "orders", lambda: {"k": c("o_orderkey"), "s": dates.date(ship(), "start of year"), "m": dates.datetime(ship(), "start of day"), "w": dates.date(ship(), "weekday 1")}, "SELECT o_orderkey AS k, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS s, strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') AS m, strftime(o_orderdate + to_days(((8 - dayofweek(o_orderdate)) % 7)::INT), '%Y-%m-%d') AS w FROM orders")
 add("time_values", "orders", lambda: {"k": c("o_orderkey"), "z": dates.datetime(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:30:00+02:30"))), "e": dates.datetime(c("o_orderkey").cast("string"), "unixepoch"), "j": dates.datetime((c("o_orderkey") + 2460310).cast("string")), "bad": dates.date(F.lit("no date")), "t": dates.datetime(F.lit("07:05"))}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') || ' 08:00:00' AS z, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S') AS e, strftime(TIMESTAMP '2023-12-31 12:00:00' + to_days(o_orderkey::INT), '%Y-%m-%d %H:%M:%S') AS j, NULL AS bad, '2000-01-01 07:05:00' AS t FROM orders")
-add("timediff", "orders", lambda: {"k": c("o_orderkey"), "d": dates.timediff(dates.datetime(ship, "+35 days", "+5 hours"), dates.datetime(dates.datetime(ship), "+5 days"))}, "SELECT o_orderkey AS k, '+' || CASE WHEN day(last_day(o_orderdate + INTERVAL 5 DAY)) <= 30 THEN '0000-01-' || lpad((30 - day(last_day(o_orderdate + INTERVAL 5 DAY)))::VARCHAR, 2, '0') ELSE '0000-00-30' END || ' 05:00:00.000' AS d FROM orders")
+add("timediff", "orders", lambda: {"k": c("o_orderkey"), "d": dates.timediff(dates.datetime(ship(), "+35 days", "+5 hours"), dates.datetime(dates.datetime(ship()), "+5 days"))}, "SELECT o_orderkey AS k, '+' || CASE WHEN day(last_day(o_orderdate + INTERVAL 5 DAY)) <= 30 THEN '0000-01-' || lpad((30 - day(last_day(o_orderdate + INTERVAL 5 DAY)))::VARCHAR, 2, '0') ELSE '0000-00-30' END || ' 05:00:00.000' AS d FROM orders")
 add("clock", "region", lambda: {"k": c("r_regionkey"), "ok": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")}, "SELECT r_regionkey AS k, true AS ok FROM region")
 add("date_trunc_extract", "orders", lambda df: df.groupBy(F.year("o_orderdate").cast("bigint").alias("y"), F.month("o_orderdate").cast("bigint").alias("m")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s")), "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY ALL")
 # Arrays
-vec = c("embedding")
-add("array_subscript", "embeddings", lambda: {"k": c("vec_id"), "a": arrays.subscript(vec, 1).cast("double"), "z": arrays.subscript(vec, 65).cast("double"), "o": arrays.subscript(vec, 0).cast("double"), "n": arrays.length(vec).cast("bigint"), "e": arrays.length(F.array().cast("array<int>")).cast("bigint")}, "SELECT vec_id AS k, embedding[1]::DOUBLE AS a, NULL AS z, NULL AS o, len(embedding) AS n, NULL AS e FROM embeddings")
-add("array_any_all", "embeddings", lambda: {"k": c("vec_id"), "any": arrays.any_of(F.lit(0.2), "<", vec), "all": arrays.all_of(F.lit(-0.4), "<", vec), "none": arrays.any_of(F.lit(1), "=", F.array().cast("array<int>")), "unknown": arrays.any_of(F.lit(3), "=", F.array(F.lit(1), F.lit(None).cast("int")))}, "SELECT vec_id AS k, list_max(embedding) > 0.2 AS any, list_min(embedding) > -0.4 AS all, false AS none, NULL AS unknown FROM embeddings")
+
+
+def vec() -> Column:
+    return c("embedding")
+
+
+add("array_subscript", "embeddings", lambda: {"k": c("vec_id"), "a": arrays.subscript(vec(), 1).cast("double"), "z": arrays.subscript(vec(), 65).cast("double"), "o": arrays.subscript(vec(), 0).cast("double"), "n": arrays.length(vec()).cast("bigint"), "e": arrays.length(F.array().cast("array<int>")).cast("bigint")}, "SELECT vec_id AS k, embedding[1]::DOUBLE AS a, NULL AS z, NULL AS o, len(embedding) AS n, NULL AS e FROM embeddings")
+add("array_any_all", "embeddings", lambda: {"k": c("vec_id"), "any": arrays.any_of(F.lit(0.2), "<", vec()), "all": arrays.all_of(F.lit(-0.4), "<", vec()), "none": arrays.any_of(F.lit(1), "=", F.array().cast("array<int>")), "unknown": arrays.any_of(F.lit(3), "=", F.array(F.lit(1), F.lit(None).cast("int")))}, "SELECT vec_id AS k, list_max(embedding) > 0.2 AS any, list_min(embedding) > -0.4 AS all, false AS none, NULL AS unknown FROM embeddings")
 add("array_containment", "lineitem", lambda df: df.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("a")).select("l_orderkey", arrays.contains(c("a"), F.array(F.lit(1), F.lit(1))).alias("has"), arrays.contains(F.array(*map(F.lit, range(1, 4))), c("a")).alias("within")), "SELECT l_orderkey, list_has_all(list(l_linenumber), [1, 1]) AS has, list_has_all([1, 2, 3], list(l_linenumber)) AS within FROM lineitem GROUP BY l_orderkey")
 add("array_literal", "nation", lambda: {"k": c("n_nationkey"), "t": arrays.to_text(F.array(c("n_name"), F.lit(None), F.lit("a b"), F.lit('q"\\'), F.lit(""))), "n": arrays.length(arrays.parse(F.concat(F.lit('{1,NULL,"x y",'), c("n_name"), F.lit("}")))).cast("bigint"), "x": arrays.subscript(arrays.parse(F.lit('{1,NULL,"x y"}')), 3), "i": arrays.subscript(arrays.parse(F.lit("{4,5}"), "bigint"), 2), "bad": arrays.parse(F.lit("1,2")).isNull()}, """SELECT n_nationkey AS k, '{' || n_name || ',NULL,"a b","q\\"\\\\",""}' AS t, 4 AS n, 'x y' AS x, 5 AS i, true AS bad FROM nation""")
 add("array_functions", "lineitem", lambda df: df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a")).select("l_orderkey", F.array_join(F.array_append("a", F.lit(99)), ",").alias("appended"), F.array_join(F.slice("a", 1, 2), ",").alias("first"), F.array_position("a", 1).alias("at"), F.aggregate("a", F.lit(0), lambda s, x: s + x).cast("bigint").alias("total")), "SELECT l_orderkey, array_to_string(list_append(list_sort(list(l_linenumber)), 99), ',') AS appended, array_to_string(list_sort(list(l_linenumber))[1:2], ',') AS first, coalesce(list_position(list_sort(list(l_linenumber)), 1), 0)::BIGINT AS at, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_orderkey")
-add("array_dot_product", "embeddings", lambda: {"k": c("vec_id"), "d": F.round(F.sqrt(F.aggregate(F.transform(vec, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)), 5)}, "SELECT vec_id AS k, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 5) AS d FROM embeddings")
+add("array_dot_product", "embeddings", lambda: {"k": c("vec_id"), "d": F.round(F.sqrt(F.aggregate(F.transform(vec(), lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)), 5)}, "SELECT vec_id AS k, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 5) AS d FROM embeddings")
 # JSON as text
-props = c("props")
-add("json_extract", "events", lambda: {"k": c("event_id"), "t": js.extract_text(props, "$.k").cast("bigint"), "j": js.extract(props, "$.k"), "m": js.extract(props, "$.none"), "b": js.extract(props, "$.k", "$.none")}, "SELECT event_id AS k, (props->>'$.k')::BIGINT AS t, props->>'$.k' AS j, NULL AS m, '[' || (props->>'$.k') || ',null]' AS b FROM events")
-add("json_type_valid", "events", lambda: {"k": c("event_id"), "v": js.valid(props), "bad": js.valid(F.lit("{oops")), "t": js.json_type(props), "i": js.json_type(props, "$.k"), "r": js.json_type(F.lit("[1.5, null, true]"), "$[0]"), "n": js.json_type(F.lit("[1.5, null, true]"), "$[-1]")}, "SELECT event_id AS k, 1 AS v, 0 AS bad, 'object' AS t, 'integer' AS i, 'real' AS r, 'true' AS n FROM events")
-add("json_edit", "events", lambda: {"k": c("event_id"), "s": js.json_set(props, "$.new", F.lit("[1]")), "i": js.json_insert(props, "$.k", F.lit("0")), "r": js.json_replace(props, "$.k", F.lit("0")), "a": js.json_set(F.lit("[1,2]"), "$[#]", F.lit("3")), "d": js.json_remove(props, "$.k")}, """SELECT event_id AS k, '{"k":' || (props->>'$.k') || ',"new":[1]}' AS s, '{"k":' || (props->>'$.k') || '}' AS i, '{"k":0}' AS r, '[1,2,3]' AS a, '{}' AS d FROM events""")
+
+
+def props() -> Column:
+    return c("props")
+
+
+add("json_extract", "events", lambda: {"k": c("event_id"), "t": js.extract_text(props(), "$.k").cast("bigint"), "j": js.extract(props(), "$.k"), "m": js.extract(props(), "$.none"), "b": js.extract(props(), "$.k", "$.none")}, "SELECT event_id AS k, (props->>'$.k')::BIGINT AS t, props->>'$.k' AS j, NULL AS m, '[' || (props->>'$.k') || ',null]' AS b FROM events")
+add("json_type_valid", "events", lambda: {"k": c("event_id"), "v": js.valid(props()), "bad": js.valid(F.lit("{oops")), "t": js.json_type(props()), "i": js.json_type(props(), "$.k"), "r": js.json_type(F.lit("[1.5, null, true]"), "$[0]"), "n": js.json_type(F.lit("[1.5, null, true]"), "$[-1]")}, "SELECT event_id AS k, 1 AS v, 0 AS bad, 'object' AS t, 'integer' AS i, 'real' AS r, 'true' AS n FROM events")
+add("json_edit", "events", lambda: {"k": c("event_id"), "s": js.json_set(props(), "$.new", F.lit("[1]")), "i": js.json_insert(props(), "$.k", F.lit("0")), "r": js.json_replace(props(), "$.k", F.lit("0")), "a": js.json_set(F.lit("[1,2]"), "$[#]", F.lit("3")), "d": js.json_remove(props(), "$.k")}, """SELECT event_id AS k, '{"k":' || (props->>'$.k') || ',"new":[1]}' AS s, '{"k":' || (props->>'$.k') || '}' AS i, '{"k":0}' AS r, '[1,2,3]' AS a, '{}' AS d FROM events""")
 add("json_build", "nation", lambda: {"k": c("n_nationkey"), "a": F.to_json(F.array("n_nationkey", "n_regionkey")), "o": F.to_json(F.struct(c("n_name").alias("name"), c("n_regionkey").alias("region")), {"ignoreNullFields": "false"}), "q": js.quote(F.concat(c("n_name"), F.lit('"'))), "l": js.array_length(F.lit("[1,2,3]")).cast("bigint"), "z": js.array_length(F.lit("{}")).cast("bigint")}, """SELECT n_nationkey AS k, '[' || n_nationkey || ',' || n_regionkey || ']' AS a, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS o, '"' || n_name || '\\""' AS q, 3 AS l, 0 AS z FROM nation""")
-add("json_minify", "events", lambda: {"k": c("event_id"), "m": js.minify(props)}, """SELECT event_id AS k, '{"k":' || (props->>'$.k') || '}' AS m FROM events""")
+add("json_minify", "events", lambda: {"k": c("event_id"), "m": js.minify(props())}, """SELECT event_id AS k, '{"k":' || (props->>'$.k') || '}' AS m FROM events""")
 # Canonical JSONB
 add("jsonb_canonical", "nation", lambda: {"k": c("n_nationkey"), "c": js.canonical(F.concat(F.lit('{"b": 1.50, "a": 1e2, "z": -0.0, "b": '), c("n_nationkey"), F.lit("}")))}, """SELECT n_nationkey AS k, '{"a":100,"b":' || n_nationkey || ',"z":0}' AS c FROM nation""")
 add("jsonb_contains", "nation", lambda: {"k": c("n_nationkey"), "a": js.contains(F.lit('{"a":{"b":1,"c":2},"d":[1,2,3]}'), F.lit('{"a":{"b":1},"d":[3]}')), "b": js.contains(F.lit("[1,2]"), F.lit("2")), "n": js.contains(F.concat(F.lit('{"k":'), c("n_nationkey"), F.lit("}")), F.lit('{"k":3}'))}, "SELECT n_nationkey AS k, true AS a, true AS b, n_nationkey = 3 AS n FROM nation")
-add("jsonb_keys", "events", lambda: {"k": c("event_id"), "has": js.has_key(props, "k"), "any": js.has_any_key(props, "z", "k"), "all": js.has_all_keys(props, "z", "k"), "keys": F.array_join(js.keys(F.lit('{"b":1,"a":2}')), ",")}, "SELECT event_id AS k, true AS has, true AS any, false AS all, 'a,b' AS keys FROM events")
-add("jsonb_concat_delete", "events", lambda: {"k": c("event_id"), "m": js.concat(props, F.lit('{"a":1}')), "l": js.concat(F.lit("[1]"), F.lit("2")), "d": js.minus_key(props, "k"), "i": js.minus_key(F.lit("[1,2,3]"), -1), "s": js.minus_key(F.lit('["a","b"]'), ["a"])}, """SELECT event_id AS k, '{"a":1,"k":' || (props->>'$.k') || '}' AS m, '[1,2]' AS l, '{}' AS d, '[1,2]' AS i, '["b"]' AS s FROM events""")
+add("jsonb_keys", "events", lambda: {"k": c("event_id"), "has": js.has_key(props(), "k"), "any": js.has_any_key(props(), "z", "k"), "all": js.has_all_keys(props(), "z", "k"), "keys": F.array_join(js.keys(F.lit('{"b":1,"a":2}')), ",")}, "SELECT event_id AS k, true AS has, true AS any, false AS all, 'a,b' AS keys FROM events")
+add("jsonb_concat_delete", "events", lambda: {"k": c("event_id"), "m": js.concat(props(), F.lit('{"a":1}')), "l": js.concat(F.lit("[1]"), F.lit("2")), "d": js.minus_key(props(), "k"), "i": js.minus_key(F.lit("[1,2,3]"), -1), "s": js.minus_key(F.lit('["a","b"]'), ["a"])}, """SELECT event_id AS k, '{"a":1,"k":' || (props->>'$.k') || '}' AS m, '[1,2]' AS l, '{}' AS d, '[1,2]' AS i, '["b"]' AS s FROM events""")
 add("jsonb_pretty_strip", "region", lambda: {"k": c("r_regionkey"), "p": js.pretty_text(F.lit('{"b":[1],"a":null}')), "s": js.strip(F.lit('{"b":[1,null],"a":null}'))}, """SELECT r_regionkey AS k, '{' || chr(10) || '    "a": null,' || chr(10) || '    "b": [' || chr(10) || '        1' || chr(10) || '    ]' || chr(10) || '}' AS p, '{"b":[1,null]}' AS s FROM region""")
 add("jsonb_each", "events", lambda df: df.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")), "SELECT event_id, 'k' AS name, props->>'$.k' AS value FROM events")
 add("jsonb_array_elements", "nation", lambda df: df.select("n_nationkey", F.posexplode(F.from_json(F.concat(F.lit("["), c("n_nationkey"), F.lit(",null,7]")), "array<string>")).alias("pos", "value")), "SELECT n_nationkey, pos::INT AS pos, value FROM (SELECT n_nationkey, 0 AS pos, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT n_nationkey, 1, NULL FROM nation UNION ALL SELECT n_nationkey, 2, '7' FROM nation)")
