@@ -16,9 +16,17 @@ _ISO = r"^\s*(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2})(?::(\d{2})(\.\d+)?)?)?\s*(Z
 _TIME = r"^\s*(\d{2}:\d{2})(?::(\d{2})(\.\d+)?)?\s*(Z|[+-]\d{2}:\d{2})?\s*$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(s: Column) -> Column:
     """A timestamp (without zone, in UTC) for a time value."""
-    s = s.cast("string")
+    return let(s.cast("string"), _parse)
+
+
+def _parse(s: Column) -> Column:
     group = lambda p, i: F.regexp_extract(s, p, i)
     part = lambda x, other: F.when(x == "", other).otherwise(x)
 
@@ -55,9 +63,12 @@ def _seconds(t: Column, seconds: Column) -> Column:
 
 def _months(t: Column, months: int) -> Column:
     """Adds months to the date's numbers; days beyond the month's end run into the next."""
-    first = F.date_trunc("month", t).cast("timestamp_ntz")
-    moved = F.add_months(first.cast("date"), months).cast("timestamp_ntz")
-    return moved + (t - first)
+
+    def moved(t: Column) -> Column:
+        first = F.date_trunc("month", t).cast("timestamp_ntz")
+        return F.add_months(first.cast("date"), months).cast("timestamp_ntz") + (t - first)
+
+    return let(t, moved)
 
 
 def modify(t: Column, modifier: str) -> Column:
@@ -73,8 +84,7 @@ def modify(t: Column, modifier: str) -> Column:
     if found := re.fullmatch(r"start of (day|month|year)", m):
         return F.date_trunc(found[1], t).cast("timestamp_ntz")
     if found := re.fullmatch(r"weekday (\d)", m):
-        ahead = F.pmod(F.lit(int(found[1]) + 1) - F.dayofweek(t), F.lit(7))
-        return t + F.make_dt_interval(days=ahead)
+        return let(t, lambda t: t + F.make_dt_interval(days=F.pmod(F.lit(int(found[1]) + 1) - F.dayofweek(t), F.lit(7))))
     if found := re.fullmatch(r"([+-])(\d{4})-(\d{2})-(\d{2})(?: (\d{2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?)?", m):
         sign = -1 if found[1] == "-" else 1
         moved = _months(t, sign * (int(found[2]) * 12 + int(found[3])))
@@ -128,7 +138,10 @@ def unixepoch(value: Column, *modifiers: str) -> Column:
 
 def strftime(form: str, value: Column, *modifiers: str) -> Column:
     """STRFTIME with a literal format; unknown codes are echoed."""
-    t = moment(value, *modifiers)
+    return let(moment(value, *modifiers), lambda t: _strftime(form, t))
+
+
+def _strftime(form: str, t: Column) -> Column:
     fmt = lambda p: F.date_format(t, p)
     pad = lambda x, n, c="0": F.lpad(x.cast("string"), n, c)
     day_of_year, weekday = F.dayofyear(t), F.dayofweek(t) - 1
@@ -152,17 +165,26 @@ def julian_text(t: Column) -> Column:
 
 def timediff(a: Column, b: Column) -> Column:
     """The calendar difference a - b as +YYYY-MM-DD HH:MM:SS.SSS."""
-    x, y = parse(a), parse(b)
+    return let(F.struct(parse(a).alias("a"), parse(b).alias("b")), lambda s: _timediff(s["a"], s["b"]))
+
+
+def _timediff(x: Column, y: Column) -> Column:
     sign = F.when(x < y, "-").otherwise("+")
     late, early = F.greatest(x, y), F.least(x, y)
     months = (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early)
     first = F.date_trunc("month", early).cast("timestamp_ntz")
     moved = lambda n: F.add_months(first.cast("date"), n).cast("timestamp_ntz") + (early - first)
-    months = F.when(moved(months) > late, months - 1).otherwise(months)
-    millis = F.floor((F.unix_micros(_instant(late)) - F.unix_micros(_instant(moved(months)))) / 1000).cast("bigint")
+    # Days past a short month's end may take two months back.
+    months = let(months, lambda n: F.when(moved(n) <= late, n).when(moved(n - 1) <= late, n - 1).otherwise(n - 2))
     whole = lambda n: F.floor(n).cast("bigint")
-    text = F.format_string(
-        "%04d-%02d-%02d %02d:%02d:%02d.%03d",
-        whole(months / 12), (months % 12).cast("bigint"), whole(millis / 86400000), whole(millis / 3600000) % 24, whole(millis / 60000) % 60, whole(millis / 1000) % 60, millis % 1000,
-    )
-    return F.when(x.isNotNull() & y.isNotNull(), F.concat(sign, text))
+
+    def text(v: Column) -> Column:
+        n, ms = v["months"], v["millis"]
+        return F.format_string(
+            "%04d-%02d-%02d %02d:%02d:%02d.%03d",
+            whole(n / 12), (n % 12).cast("bigint"), whole(ms / 86400000), whole(ms / 3600000) % 24, whole(ms / 60000) % 60, whole(ms / 1000) % 60, ms % 1000,
+        )
+
+    rest = lambda n: whole((F.unix_micros(_instant(late)) - F.unix_micros(_instant(moved(n)))) / 1000)
+    both = let(months, lambda n: F.struct(n.alias("months"), rest(n).alias("millis")))
+    return F.when(x.isNotNull() & y.isNotNull(), F.concat(sign, let(both, text)))
