@@ -44,6 +44,8 @@ def glob_regex(pattern: str) -> str:
             negated = body.startswith("^")
             out.append("[" + "^" * negated + re.sub(r"([\\\[\]&^])", r"\\\1", body[negated:]) + "]")
             i = end
+        elif c == "[":
+            return "(?!)"  # a set that isn't closed matches nothing
         else:
             out.append(re.escape(c))
         i += 1

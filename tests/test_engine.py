@@ -124,8 +124,9 @@ def test_entry(spark):
 def test_engine_without_the_corpus_operators():
     """The rest never imports the subpackage."""
     import pathlib
+    import re
 
     root = pathlib.Path(__file__).parent.parent / "tamarack"
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
-            assert "llm" not in f.read_text(), f
+            assert not re.search(r"\bllm\b", f.read_text()), f
