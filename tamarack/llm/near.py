@@ -29,8 +29,8 @@ TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 TARGET = 0.9995
 BLOCK = 256
 SALTS = 16
-#: Bits of the filter which spares texts without candidates a shuffle: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of the filter which spares texts without candidates a shuffle: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def text_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -91,21 +91,30 @@ def _candidates(sets: DataFrame, depth: int) -> DataFrame:
     return spokes.union(middle.filter("sid <> v").select("sid", "v")).distinct()
 
 
-def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds the shingle hashes to wanted(sid, key, ...), one text being read for each set."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
-    maps = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map")).collect()
+def _bits(rows: DataFrame, column: str):
+    """A map of the hashed values of a column, for the workers; others may share their bits."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    maps = rows.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in maps:  # at most FILTER_BITS bits together, 4 KB a row
         bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _hit(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bits[(bit - 1) // 8] >> ((bit - 1) % 8).astype(np.uint8) & 1).astype(bool)
+
+
+def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds the shingle hashes to wanted(sid, key, ...), one text being read for each set."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
+    sent = _bits(wanted, "key")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            place = batch.column(1).to_numpy() - 1
-            at = np.flatnonzero(sent.value[place // 8] >> (place % 8).astype(np.uint8) & 1)
+            at = np.flatnonzero(_hit(sent.value, batch.column(1).to_numpy()))
             texts = batch.column(2).take(pa.array(at)).to_pylist()
             for a, b in tv.chunks(texts):
                 sets = text_sets(texts[a:b])
@@ -266,7 +275,21 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are left alone.
     """
     classes = durable(near_classes(docs, id_col, text_col))
-    kept = docs.join(classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), id_col, "left_anti")
+    gone = durable(classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct())
+    # Rows whose bit isn't set stay without being shuffled; only the others are joined.
+    sent, bit = _bits(gone, id_col), F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)) + 1
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                n = batch.num_columns - 1
+                yield batch.select(range(n)).filter(pa.array(_hit(sent.value, batch.column(n).to_numpy()) == wanted))
+
+        return docs.withColumn("__bit", bit.cast("bigint")).mapInArrow(run, docs.schema)
+
+    kept = part(False).unionByName(part(True).join(gone, id_col, "left_anti"))
     ids = classes.filter(F.col(id_col).isNotNull()).select(id_col)
     if ids.count() > ids.distinct().count():
         numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
