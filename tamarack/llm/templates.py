@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import read
+from .common import durable, read
 
 #: A class is valid if it has so many tokens and stands on this share of a host's pages, and two at least.
 LEAST_TOKENS, LEAST_SHARE = 2, 0.5
-#: Pieces into which the pages of a host are dealt.
-SALTS = 16
+#: Up to so many template places of all hosts they are sent to the workers, 8 bytes each;
+#: beyond that, hosts are joined, and the pages of a host are dealt into so many pieces.
+SENT_PLACES, SALTS = 2_000_000, 16
 
 #: Element names by what they mean for the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -244,27 +245,27 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("link"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host(F.col("link"))).withColumn("number", F.xxhash64("key", "link", "html"))
-    fixed = deduce(rows).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    rows = rows.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(fixed, ["host", "salt"], "left")
     kind = dict(rows.dtypes)["key"]
+    fixed = durable(deduce(rows))
+    sent = None
+    if (fixed.agg(F.sum(F.size("fixed") + 10)).head()[0] or 0) <= SENT_PLACES:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(p & tv._MASK for p in r["fixed"]) for r in fixed.collect()})
+        rows = rows.select("key", "link", "html", "host")
+    else:
+        fixed = fixed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        rows = rows.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(fixed, ["host", "salt"], "left").select("key", "link", "html", "fixed")
 
     def run(batches):
         import pyarrow as pa
 
-        known: dict[tuple, frozenset] = {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[1:]]
             texts = []
-            for _, page, places in zip(*columns, strict=True):
-                places = tuple(places or ())
-                if places not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[places] = frozenset(p & tv._MASK for p in places)
-                texts.append(main_text(page, known[places]))
+            for page, where in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                places = sent.value.get(where, frozenset()) if sent is not None else frozenset(p & tv._MASK for p in where or ())
+                texts.append(main_text(page, places))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "link", "text"])
 
-    done = rows.select("key", "link", "html", "fixed").mapInArrow(run, f"key {kind}, link string, text string")
+    done = rows.mapInArrow(run, f"key {kind}, link string, text string")
     return done.select(F.col("key").alias(id_col), F.col("link").alias(url_col), "text")
 
 
