@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour of u.
+
+    The key is wrapped, so that the join doesn't take over the grouping's partitions: both
+    sides are dealt for the join, which lets Spark split the edges of a centre of many.
+    """
+    keyed = least.select(F.struct("u").alias("key"), "m")
+    return edges.withColumn("key", F.struct("u")).join(keyed, "key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); a component is named by its least node.
 
@@ -24,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
         both = rows.union(rows.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _beside(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = _beside(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         rows = hung.union(least.select("u", "m")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
