@@ -3,11 +3,11 @@
 The language model is a modified Kneser-Ney model over characters, folded to an alphabet
 of 64 symbols.  Four symbols of six bits are a number below 2**24, so an n-gram is its own
 hash without collisions and a language has at most ``MOST_GRAMS`` of them however large the
-corpus.  Spark counts the n-grams of all texts and derives discounts, backoff weights and
-probabilities; the model is a sorted array of codes for each language, with its values
-beside it.  A text is rejected if its mean negative log probability lies outside the band
-of its language, which comes from the quartiles of all texts of that language that pass the
-counting rules.
+corpus.  Spark counts the n-grams of the model's texts, which are all that pass the counting
+rules and hold few symbols (junk must not teach the model junk), and derives discounts,
+backoff weights and probabilities; the model is a sorted array of codes for each language,
+with its values beside it.  A text is rejected if its mean negative log probability lies
+outside the band of its language, which comes from the quartiles of the model's texts.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SENT_GRAMS = 8_000_000
 #: The symbols counted as such by the rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
+#: A text with more symbols than this share of its words teaches the model nothing.
+MODEL_SYMBOL_PERCENT = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _GAP, _OTHER = 1, 2
 
@@ -134,8 +136,13 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
 
 
+def for_model(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether each text is one of the model's."""
+    return ~base_failed(counts) & (100 * counts["n_symbols"] <= MODEL_SYMBOL_PERCENT * counts["n_words"])
+
+
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, code, n: how often each n-gram of the highest order occurs in all texts.
+    """lang, code, n: how often each n-gram of the highest order occurs in the model's texts.
 
     Each task adds up what it has read, in arrays of at most ``2**24`` codes a language,
     before a row leaves it.
@@ -148,9 +155,13 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
             for a, b in tv.chunks(texts):
-                code, at = grams(texts[a:b])
-                number = {x: i for i, x in enumerate(dict.fromkeys(langs[a:b]))}
-                owner = np.repeat([number[x] for x in langs[a:b]], np.diff(at))
+                taken = np.flatnonzero(for_model(base_counts(texts[a:b]))) + a
+                if not len(taken):
+                    continue
+                of = [langs[i] for i in taken]
+                code, at = grams([texts[i] for i in taken])
+                number = {x: i for i, x in enumerate(dict.fromkeys(of))}
+                owner = np.repeat([number[x] for x in of], np.diff(at))
                 both, n = np.unique(code.astype(np.int64) | owner.astype(np.int64) << BITS * ORDER, return_counts=True)
                 for x, i in number.items():
                     lo, hi = np.searchsorted(both, [i << BITS * ORDER, (i + 1) << BITS * ORDER])
@@ -203,7 +214,8 @@ def fit(counts: DataFrame) -> DataFrame:
         probs[k] = durable(level.select("lang", "code", (F.col("own") + F.col("left") * F.col("q")).alias("p")))
     out = weights[0].select("lang", F.lit(0).cast("bigint").alias("code"), F.lit(-BITS * float(np.log(2))).alias("logp"), "logb")
     for k, rows in probs.items():
-        rows = rows.join(weights[k], ["lang", "code"], "left") if k < ORDER else rows.withColumn("logb", F.lit(0.0))
+        # A context of gaps before a text's start is no n-gram itself: it has a weight only.
+        rows = rows.join(weights[k], ["lang", "code"], "full") if k < ORDER else rows.withColumn("logb", F.lit(0.0))
         out = out.unionByName(rows.select("lang", (F.col("code") + (k << BITS * ORDER)).alias("code"), F.log("p").alias("logp"), F.coalesce("logb", F.lit(0.0)).alias("logb")))
     return out
 
@@ -213,6 +225,8 @@ class Model:
 
     def __init__(self, langs: np.ndarray, code: np.ndarray, logp: np.ndarray, logb: np.ndarray):
         self.by: dict[str, tuple[np.ndarray, ...]] = {}
+        if not len(code):
+            return
         order = np.lexsort((code, langs))
         names, first = np.unique(langs[order], return_index=True)
         for x, part in zip(names.tolist(), np.split(order, first[1:]), strict=True):
@@ -228,7 +242,7 @@ class Model:
         for k in range(ORDER, -1, -1):
             want = code[ask] & (1 << BITS * k) - 1
             at = np.minimum(np.searchsorted(codes, want | k << BITS * ORDER), len(codes) - 1)
-            hit = codes[at] == want | k << BITS * ORDER
+            hit = (codes[at] == want | k << BITS * ORDER) & ~np.isnan(logp[at])
             out[ask[hit]] += logp[at[hit]]
             ask, want = ask[~hit], want[~hit]
             if not k or not len(ask):
@@ -266,8 +280,8 @@ def score(docs: DataFrame, sent, model: DataFrame, id_col: str = "doc_id", text_
     """Counts of the rules, base_failed, entropy and size of each text, by the model.
 
     With the model at the workers a text is scored where it is read.  A model too large for
-    that is joined: each text's distinct n-grams are dealt by language and code, which
-    needs every n-gram to be known, as it is when the model is fitted on the same texts.
+    that is joined: each text's distinct n-grams are dealt by language and code, and those
+    the model doesn't know back off as they do at the workers.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -296,20 +310,36 @@ def score(docs: DataFrame, sent, model: DataFrame, id_col: str = "doc_id", text_
         return rows.mapInArrow(run, f"{head}, entropy double, size bigint").withColumnRenamed("key", id_col)
     wide = durable(rows.mapInArrow(run, f"{head}, codes array<bigint>, times array<bigint>, size bigint").withColumn("row", F.monotonically_increasing_id()))
     each = wide.select("row", "lang", F.explode(F.arrays_zip("codes", "times")).alias("g")).select("row", "lang", (F.col("g.codes") + (ORDER << BITS * ORDER)).alias("code"), "g.times")
-    sums = each.join(model.select("lang", "code", "logp"), ["lang", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("sum"))
+    sums = each.join(_joined_logp(each, model), ["lang", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("sum"))
     wide = wide.drop("codes", "times").join(sums, "row").withColumn("entropy", -F.col("sum") / F.col("size"))
     return wide.drop("row", "sum").withColumnRenamed("key", id_col)
 
 
+def _joined_logp(each: DataFrame, model: DataFrame) -> DataFrame:
+    """lang, code, logp of every n-gram of the highest order in ``each``, backing off by joins."""
+    low = lambda k: F.col("code") % (1 << BITS * k)
+    parts = [F.struct(F.lit(f"p{k}").alias("part"), (low(k) + (k << BITS * ORDER)).alias("want")) for k in range(ORDER + 1)]
+    parts += [F.struct(F.lit(f"b{k}").alias("part"), (F.shiftright(low(k), BITS) + (k - 1 << BITS * ORDER)).alias("want")) for k in range(1, ORDER + 1)]
+    asked = each.select("lang", "code").distinct().select("lang", "code", F.explode(F.array(*parts)).alias("x")).select("lang", "code", "x.part", "x.want")
+    known = asked.join(model.select("lang", F.col("code").alias("want"), "logp", "logb"), ["lang", "want"], "left")
+    of = lambda part, value: F.max(F.when(F.col("part") == part, F.col(value))).alias(part)
+    known = known.groupBy("lang", "code").agg(*[of(f"p{k}", "logp") for k in range(ORDER + 1)], *[of(f"b{k}", "logb") for k in range(1, ORDER + 1)])
+    value = F.coalesce("p0", F.lit(-BITS * float(np.log(2))))
+    for k in range(1, ORDER + 1):
+        value = F.coalesce(F.col(f"p{k}"), F.coalesce(f"b{k}", F.lit(0.0)) + value)
+    return known.select("lang", "code", value.alias("logp"))
+
+
 def fit_bands(scored: DataFrame) -> DataFrame:
-    """lang, middle, spread: median and interquartile range of the texts that pass the rules.
+    """lang, middle, spread: median and interquartile range of the model's texts.
 
     They are read from a histogram, so all texts count and none moves.  A range narrower
     than fifty bins (a language of copies) is widened to that.
     """
     from pyspark.sql import Window
 
-    bins = scored.filter(~F.col("base_failed")).groupBy("lang", F.floor(F.col("entropy") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    ours = ~F.col("base_failed") & (100 * F.col("n_symbols") <= MODEL_SYMBOL_PERCENT * F.col("n_words"))
+    bins = scored.filter(ours).groupBy("lang", F.floor(F.col("entropy") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) / F.sum("n").over(Window.partitionBy("lang"))
     q = lambda x: F.min(F.when(F.col("upto") >= x, F.col("bin"))) * BIN
     return bins.withColumn("upto", upto).groupBy("lang").agg(q(0.5).alias("middle"), F.greatest(q(0.75) - q(0.25), F.lit(50 * BIN)).alias("spread"))
@@ -330,11 +360,11 @@ def judge(scored: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The verdict on each text, by a model and bands fitted on all of them.
+    """The verdict on each text, by a model and bands fitted on the model's texts among them.
 
     One row per input row, repeated rows included.  A null text counts as empty and fails the
-    counting rules; a null language is a language of its own; one with no text that passes
-    the rules has no band and loses nothing to it; an empty table gives an empty table;
+    counting rules; a null language is a language of its own; one with none of the model's
+    texts has no band and loses nothing to it; an empty table gives an empty table;
     other columns are not read.
     """
     scored = durable(score(docs, *_fitted(docs, text_col, lang_col), id_col, text_col, lang_col))

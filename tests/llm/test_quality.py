@@ -98,3 +98,29 @@ def test_empty_table_and_null_language(spark, make):
     assert q.quality(make([])).count() == 0
     assert q.keep_quality(make([])).count() == 0
     assert q.quality(make([words(70)]).withColumn("lang", F.lit(None).cast("string"))).count() == 1
+
+
+def junk_corpus():
+    """Sound texts, then texts of words with symbols stuck to them, and of words between bars."""
+    sound = [words(120, i) for i in range(120)]
+    marked = [" ".join(w + "#$%&*"[i % 5] * 3 for i, w in enumerate(words(120, 1000 + k).split())) for k in range(60)]
+    barred = [words(120, 2000 + k).replace(" ", " | ") for k in range(60)]
+    return sound, marked + barred
+
+
+def test_symbol_junk_falls_outside_the_bands(spark, make):
+    sound, junk = junk_corpus()
+    rows = q.quality(make(sound + junk)).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(range(len(sound)))
+
+
+def test_joined_model_backs_off_for_unknown_ngrams(spark, make, monkeypatch):
+    sound, junk = junk_corpus()
+    docs = make(sound + junk + ["Zz"])
+    first = {r["doc_id"]: r for r in q.quality(docs).collect()}
+    monkeypatch.setattr(q, "SENT_GRAMS", 0)
+    rows = q.quality(docs).collect()
+    assert len(rows) == len(first)
+    for r in rows:
+        assert r["perplexity"] == pytest.approx(first[r["doc_id"]]["perplexity"], rel=1e-5)
