@@ -42,6 +42,10 @@ MARKS = frozenset(
     "newsletter notice notices overlay pagination pager popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget complementary contentinfo".split()
 )
 MAIN_MARKS = frozenset(("main", "article"))
+#: Elements whose own marks tell of the page's parts or layout; an article's do so if no other article holds it.
+HOLDERS = frozenset("html body main".split())
+#: How a block stands: in the text, under a mark outside any article, in boilerplate.
+IN, MARKED, OUT = 0, 1, 2
 
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>|[!?/][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -66,34 +70,34 @@ def _stable(text: str) -> int:
 _names: dict[str, int] = {}
 
 
-def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """The class and id as part of the place, whether they mark boilerplate, or the article."""
-    key, out, main = "", False, False
+def _attributes(raw: str) -> tuple[str, bool, bool, bool]:
+    """The class and id as part of the place, whether they hide, mark boilerplate, or the article."""
+    key, hidden, out, main = "", False, False, False
     for name, *values in _ATTRIBUTE.findall(raw):
         value, name = "".join(values), name.lower()
         if name == "style":
-            out |= "display:none" in value.replace(" ", "").lower()
+            hidden |= "display:none" in value.replace(" ", "").lower()
             continue
         if name in ("hidden", "aria-hidden"):
-            out |= name == "hidden" or value.lower() == "true"
+            hidden |= name == "hidden" or value.lower() == "true"
             continue
         words = set(_WORD.findall(_SPLIT_CASE.sub(" ", value).lower()))
         out |= bool(words & MARKS)
         main |= name == "role" and bool(words & MAIN_MARKS)
         if name != "role":
             key += "." + value
-    return key, out, main
+    return key, hidden, out, main
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, bool, bool]], Counter]:
-    """Blocks (place, text, boilerplate, article) in page order, and how often each place occurs.
+def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], Counter]:
+    """Blocks (place, text, standing, article) in page order, and how often each place occurs.
 
     A place is a hash of the block elements around a text.  Comments, markup, scripts and
     the like are no text; character references are decoded.
     """
-    found: list[tuple[int, str, bool, bool]] = []
+    found: list[tuple[int, str, int, bool]] = []
     counts: Counter = Counter()
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    stack: list[tuple[str, int, int, bool]] = [("", 0, IN, False)]
     opened: Counter = Counter()
     held: list[str] = []
     at, size = 0, len(page)
@@ -153,7 +157,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, bool, bool]], Counter]:
             for other in CLOSES[name]:
                 if opened[other] and stack[-1][0] == other:
                     close(other)
-        key, out, main = _attributes(raw) if raw else ("", False, False)
+        key, hidden, marked, main = _attributes(raw) if raw else ("", False, False, False)
         _, above, was_out, was_main = stack[-1]
         number = _names.get(name + key)
         if number is None:
@@ -163,7 +167,9 @@ def blocks(page: str) -> tuple[list[tuple[int, str, bool, bool]], Counter]:
         place = _mix(above, number)
         counts[place] += 1
         if name not in VOID and not raw.endswith("/"):
-            stack.append((name, place, was_out or out or name in BOILERPLATE, was_main or main or name in MAIN_MARKS))
+            holds = name in HOLDERS or ((name == "article" or main) and not opened["article"])
+            out = OUT if hidden or name in BOILERPLATE else IN if holds or not marked else OUT if was_main else MARKED
+            stack.append((name, place, max(was_out, out), was_main or main or name in MAIN_MARKS))
             opened[name] += 1
     flush()
     return found, counts
@@ -226,13 +232,18 @@ def deduce(pages: DataFrame) -> DataFrame:
 def main_text(page: str, fixed: frozenset[int]) -> str:
     """Blocks of the article which the template doesn't hold, one a line.
 
-    A page without an article element is read from all slots that aren't boilerplate.
+    A page without an article element is read from all slots that aren't boilerplate.  An
+    article below marked elements is read if nothing else of the page is as long.
     """
     found, _ = blocks(page)
-    kept = [(text, main) for place, text, out, main in found if not out and place not in fixed]
-    if any(main for *_, main in found):
-        kept = [(text, main) for text, main in kept if main]
-    return "\n".join(text for text, _ in kept)
+    slots = [(text, out, main) for place, text, out, main in found if out != OUT and place not in fixed]
+    kept = [text for text, out, main in slots if out == IN and main]
+    if not kept:
+        kept = [text for text, out, _ in slots if out == IN]
+        held = [text for text, out, main in slots if out == MARKED and main]
+        if sum(map(len, held)) > sum(map(len, kept)):
+            kept = held
+    return "\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

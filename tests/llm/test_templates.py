@@ -32,3 +32,15 @@ def test_template_text_goes(spark):
 
 def test_empty_table(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_marks_around_the_article_do_not_empty_it():
+    story = "<h1>Head</h1><p>The story</p>"
+    assert main_text(f"<body class='has-sidebar comments-open'><article>{story}</article></body>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<main class='search-page'>{story}</main>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<main><article class='post share'>{story}<div class='share'>x</div></article></main>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<div id='related-share-wrapper'><article>{story}<nav>n</nav></article></div><p>(c)</p>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<div>{story}</div><aside><article>Teaser</article></aside>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<article>{story}</article><div class='related'><article>A much longer teaser of another story</article></div>", frozenset()) == "Head\nThe story"
+    assert main_text(f"<article>{story}<article class='comment'>First!</article></article>", frozenset()) == "Head\nThe story"
+    assert main_text("<main hidden><p>x</p></main>", frozenset()) == ""
