@@ -97,9 +97,13 @@ RULES = (
     ("Proprietary", "all-rights"),
 )
 #: Every known sentence holds one of these, in any case; other texts and sentences are passed over.
-TRIGGER = r"(?i)licen[sc]e|permission|warrant|redistribut|endorse|provided|free software|later version|cc.{1,3}by|cc0|creative commons|clause|public domain|rights|copyright|compliance"
-#: Sentences end at a mark before white space, at an empty line or at the text's end.
-SENTENCE_END = r"[.!?;:]+(?:[ \t\n\r\f]+|$)|\n[ \t\r]*\n"
+#: What normalisation makes a single space may be any run of other characters here, line ends too.
+TRIGGER = r"(?i)licen[sc]e|permission|warrant|redistribut|endorse|provided|free[^A-Za-z0-9+]+software|later[^A-Za-z0-9+]+version|cc[^A-Za-z0-9+]+by|cc0|creative[^A-Za-z0-9+]+commons|clause|public[^A-Za-z0-9+]+domain|rights|copyright|compliance"
+#: Sentences end at a full stop or the like before white space, at an empty line or at the text's end.
+#: Semicolons and colons end none: the headers of the GNU licences go on after them.
+SENTENCE_END = r"[.!?]+(?:[ \t\n\r\f]+|$)|\n[ \t\r]*\n"
+#: The comparison SQL keeps its own, narrower first test of a sentence.
+SQL_TRIGGER = r"(?i)licen[sc]e|permission|warrant|redistribut|endorse|provided|free software|later version|cc.{1,3}by|cc0|creative commons|clause|public domain|rights|copyright|compliance"
 
 
 def identifiers(text: Column) -> Column:
@@ -154,7 +158,7 @@ def oracle() -> str:
     return f"""
 WITH s AS (
   SELECT doc_id, [trim(regexp_replace(lower(x), '[^a-z0-9+]+', ' ', 'g'))
-    FOR x IN string_split_regex(coalesce(text, ''), {ends}) IF regexp_matches(x, {quoted(TRIGGER)})] AS ws FROM documents
+    FOR x IN string_split_regex(coalesce(text, ''), {ends}) IF regexp_matches(x, {quoted(SQL_TRIGGER)})] AS ws FROM documents
 ), i AS (
   SELECT doc_id, flatten([[y FOR y IN [{known}] IF y IS NOT NULL] FOR w IN ws]) AS ids FROM s
 ), seq AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || '|' AS rest, CAST([] AS VARCHAR[]) AS names FROM i),

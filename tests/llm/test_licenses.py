@@ -33,3 +33,20 @@ def test_licences(spark, make):
 def test_plan_is_native_and_empty_table(spark, make):
     assert not re.search("Python|Pandas|Arrow", scan_licenses(make([]))._jdf.queryExecution().toString())
     assert scan_licenses(make([])).count() == 0
+
+
+GNU = "This {0} is free\nsoftware; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License\nas published by the Free Software Foundation; either version {2} of the License, or (at your option) any later\nversion."
+WRAPPED = {
+    GNU.format("program", "", "2"): ["GPL-2.0-or-later"],
+    GNU.format("library", "Lesser ", "2.1"): ["LGPL-2.1-or-later"],
+    "# This is free and unencumbered software released into the public\n# domain.": ["Unlicense", "Public-Domain"],
+    "The work is dedicated to the public\ndomain.": ["Public-Domain"],
+    "Text under CC\n * BY-SA 4.0.": ["CC-BY-SA"],
+    "Text under creative\ncommons zero.": ["CC0-1.0"],
+}
+
+
+def test_wrapped_lines_and_gnu_headers(spark, make):
+    texts = list(WRAPPED)
+    for r in scan_licenses(make(texts)).collect():
+        assert r["licenses"] == WRAPPED[texts[r["doc_id"]]], texts[r["doc_id"]]
