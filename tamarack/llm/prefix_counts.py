@@ -13,14 +13,12 @@ for many new units at once, and units seen before are looked up.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_batches, read, tokenizer_path
+from .common import loaded, map_batches, read, tokenizer_path
 
 PIECE_BPE = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -259,18 +257,19 @@ class PrefixCounter:
         return [0, *counts[1:].tolist()]
 
 
-@functools.cache
 def load(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    """The worker's counter for a vocabulary file."""
+    return loaded(PrefixCounter, path)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = PIECE_BPE, limit: int = LIMIT) -> DataFrame:
     """Exact token count of each whole text and where it would have to be cut for a budget.
 
     Returns ``id_col``, n_tokens, over_limit (more than ``limit`` tokens) and fit_chars (code
-    points of the longest prefix of at most ``limit`` tokens).  One row per input row; a null
-    or empty text has no tokens; nothing is cut before it is counted; a null id stays null;
-    other columns are not read.
+    points of the longest prefix of at most ``limit`` tokens).  One row per input row, repeated
+    rows included; a null or empty text has no tokens; a very long text is counted whole, by a
+    table as long as the text; an empty table gives an empty table; a null id stays null; other
+    columns are not read, so their names can't clash.
     """
 
     def fn(keys, texts):

@@ -1,96 +1,116 @@
 """Quality rules (operator 2): counting rules and n-gram perplexity bands by language.
 
-The language model is a modified Kneser-Ney model over characters, folded to an alphabet
-of 64 symbols.  Four symbols of six bits are a number below 2**24, so an n-gram is its own
-hash without collisions and a language has at most ``MOST_GRAMS`` of them however large the
-corpus.  Spark counts the n-grams of the model's texts, which are all that pass the counting
-rules and hold few symbols (junk must not teach the model junk), and derives discounts,
-backoff weights and probabilities; the model is a sorted array of codes for each language,
-with its values beside it.  A text is rejected if its mean negative log probability lies
-outside the band of its language, which comes from the quartiles of the model's texts.
+The language model is a modified Kneser-Ney model over the code points of a text, white
+space being one gap, of order ``ORDER``.  No alphabet is fixed and nothing is folded: an
+n-gram is known by 64 bits of hash, and the model has as many n-grams as the corpus.  Spark
+counts the n-grams of running prose (texts that pass the counting rules and are nearly all
+letters; junk must not teach the model junk), and derives discounts, backoff weights and
+probabilities by joins.
+
+Texts are dealt by a hash of their words into ``FOLDS`` parts, and a text is judged by the
+model of the other parts: neither it nor its copies have taught the model which judges it,
+so a perplexity means the same for prose and for texts which aren't the model's.
+
+The model is stored as sorted arrays of hashes with whole numbers beside them, in slices of
+at most ``SLICE`` n-grams, chosen by the two code points before the one foretold.  All that
+one place of a text asks for, backing off included, is in one slice; texts are read once for
+each slice, and their sums, being of whole numbers, are the same however many slices there
+are.  A text is rejected if its mean negative log probability lies outside the band of its
+language, which comes from the quartiles of the model's texts.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import durable, read
-
-ORDER, BITS = 4, 6
-MOST_GRAMS = sum(1 << BITS * k for k in range(1, ORDER + 1))
+from .common import discard, durable, fresh, lean, pieces, read
+
+ORDER, FOLDS = 5, 2
+#: N-grams and contexts of one slice of the model: 12 bytes each at every worker.
+SLICE = 8_000_000
+#: Log probabilities are whole numbers of such parts of a nat.
+UNIT = 1 << 20
+#: The log probability of a code point of which nothing is known.
+EVEN = -round(float(np.log(0x110000)) * UNIT)
 #: A band reaches so many interquartile ranges below and above the median, and further for
 #: texts of few symbols: by the factor sqrt(1 + SHORT / symbols).  It reaches further up,
 #: since sound texts may quote another language.
-BELOW, ABOVE, SHORT = 4.0, 6.0, 1000.0
-#: Quartiles are read from a histogram with bins of this width.
-BIN = 2e-4
-#: Up to so many n-grams of all languages the model is sent to the workers (8 bytes each
-#: and 4 for its backoff weight); beyond that, n-grams are joined to it.
-SENT_GRAMS = 8_000_000
+BELOW, ABOVE, SHORT = 5.0, 9.0, 500.0
+#: Quartiles are read from a histogram with bins of this width, so a language has some
+#: thousands of them however many texts it has.
+BIN = 1e-3
 #: The symbols counted as such by the rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: A text with more symbols than this share of its words teaches the model nothing.
-MODEL_SYMBOL_PERCENT = 10
+#: Running prose has at least this share of letters and digits among its visible code
+#: points, and at most this share of capitals.
+PROSE_PERCENT, CAPITAL_PERCENT = 92, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_GAP, _OTHER = 1, 2
-
-
-@functools.cache
-def symbol_table() -> np.ndarray:
-    """The symbol, from 1 to 63, of each code point."""
-    table = np.full(0x110000, _OTHER, np.uint8)
-    letters, free = "abcdefghijklmnopqrstuvwxyz", 3
-    for c in letters:
-        table[ord(c)] = free
-        free += 1
-    for c in letters.upper():
-        table[ord(c)] = free + (c not in "AEIOU")
-    free += 2
-    for c in ".,!?;:'\"()-|*#$%&":
-        table[ord(c)] = free
-        free += 1
-    kinds = tv.class_table()
-    table[kinds == tv.NUMBER] = free
-    upper = free + 1
-    free += 2
-    other = np.flatnonzero((kinds == tv.LETTER) & (np.arange(0x110000) > 127))
-    table[other] = free + (other * 2654435761 % 4294967296 >> 16) % (64 - free)
-    changed = other[tv.lower_table()[other] != other]
-    table[changed] = upper
-    table[list(tv.WHITE_SPACE)] = _GAP
-    return table
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the n-gram ending at each symbol of each text, and each text's first one.
-
-    White space is one gap symbol; gaps stand before the first symbol.  Every text has one
-    symbol at least, the gap that ends it.
+GAP = 32
+#: Bytes of text which a task works on at once (more where one text has more).
+PIECE = 1 << 20
+#: N-grams which a task holds before it passes them on.
+HELD = 2_000_000
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts, each after ``ORDER - 1`` gaps; the first window and the number of windows of each.
+
+    Runs of white space are one gap, and a gap ends each text, so every text has a window.
     """
-    symbols = symbol_table()[tv.to_codepoints("".join([t + " " for t in texts]))]
+    cp = tv.to_codepoints(" ".join(texts) + " ")
+    gap = (tv.class_table()[cp] == tv.SPACE) | (cp == 0)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    first = np.zeros(len(symbols), bool)
-    first[ends[:-1]] = True
-    first[:1] = True
-    gap = symbols == _GAP
-    again = np.zeros(len(symbols), bool)
-    again[1:] = gap[1:] & gap[:-1] & ~first[1:]
-    keep = np.flatnonzero(~again)
-    s, first = symbols[keep].astype(np.int32), first[keep]
-    at = np.flatnonzero(first)
-    since = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s))))
-    code = s.copy()
-    for back in range(1, ORDER):
-        before = np.full(len(s), _GAP, np.int32)
-        before[back:] = s[:-back]
-        code |= np.where(since >= back, before, _GAP) << BITS * back
-    return code, np.append(at, len(s))
+    keep = np.ones(len(cp), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    keep[ends[:-1]] = True
+    total = np.concatenate([[0], np.cumsum(keep)])
+    size = np.diff(np.concatenate([[0], total[ends]]))
+    at = np.cumsum(size) - size + np.arange(len(texts)) * (ORDER - 1)
+    out = np.full(int(size.sum()) + len(texts) * (ORDER - 1), GAP, np.uint32)
+    out[tv.spans(at + ORDER - 1, size)] = np.where(gap, GAP, cp)[keep]
+    return out, at, size
+
+
+def hashes(symbols: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the ``order`` symbols from each place on (the last axis, where there are more)."""
+    n, values = symbols.shape[-1] - order + 1, tv.char_values()[symbols]
+    out = np.zeros((*symbols.shape[:-1], n), np.uint64)
+    for i in range(order):
+        out *= _STEP
+        out += values[..., i : i + n]
+    return out
+
+
+def salt(model: int, lang: str, order: int) -> np.uint64:
+    """What tells the n-grams of models, languages and orders apart."""
+    return np.uint64(int.from_bytes(hashlib.blake2b(f"{model} {order} {lang}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def salts(groups: list[tuple[int, str]], order: int) -> np.ndarray:
+    return np.array([salt(m, x, order) for m, x in groups], np.uint64)
+
+
+class Windows:
+    """The distinct windows of some texts, with the group (model and language) they belong to."""
+
+    def __init__(self, texts: list[str], groups: list[tuple[int, str]]):
+        self.groups = list(dict.fromkeys(groups))
+        number = {g: i for i, g in enumerate(self.groups)}
+        of = np.array([number[g] for g in groups], np.int64)
+        self.symbols, first, self.size = symbols(texts)
+        start = tv.spans(first, self.size)
+        own = tv.mix64(hashes(self.symbols, ORDER)[start] + np.repeat(salts(self.groups, ORDER)[of], self.size))
+        self.hash, at, self.back, self.times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        self.group = np.repeat(of, self.size)[at]
+        self.rows = np.lib.stride_tricks.sliding_window_view(self.symbols, ORDER)[start[at]]
 
 
 def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
@@ -136,274 +156,346 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
 
 
-def for_model(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Whether each text is one of the model's."""
-    return ~base_failed(counts) & (100 * counts["n_symbols"] <= MODEL_SYMBOL_PERCENT * counts["n_words"])
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    n = counts["n_words"]
+    return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
+
+
+def prose(texts: list[str]) -> np.ndarray:
+    """Whether each text is nearly all letters and digits, and mostly small ones."""
+    cp = tv.to_codepoints(" ".join(texts) + " ")
+    kind, at = tv.class_table()[cp], np.cumsum([0, *[len(t) + 1 for t in texts]])
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+    wordlike = (kind == tv.LETTER) | (kind == tv.NUMBER)
+    visible, letters, capitals = count(kind != tv.SPACE), count(wordlike), count(tv.lower_table()[cp] != cp)
+    return (100 * letters >= PROSE_PERCENT * visible) & (100 * capitals <= CAPITAL_PERCENT * letters)
+
+
+def _group_names(models, langs) -> list[tuple[int, str]]:
+    return [(m, x or "") for m, x in zip(models.to_pylist(), langs.to_pylist(), strict=True)]
+
+
+def _fold(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, code, n: how often each n-gram of the highest order occurs in the model's texts.
+    """model, lang, gram, n: how often each n-gram of the highest order occurs in the texts of each model.
 
-    Each task adds up what it has read, in arrays of at most ``2**24`` codes a language,
-    before a row leaves it.
+    A text's fold is the model which judges it; it teaches all the others.  Each task adds up
+    what it has read before rows leave it, some millions at a time.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        parts: list[tuple] = []
+        names: dict[tuple[int, str], int] = {}
+
+        def merged():
+            key, group, rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, at, back = np.unique(key, return_index=True, return_inverse=True)
+            return key[at], group[at], rows[at], np.bincount(back, n).astype(np.int64)
+
+        def emitted(key, group, rows, n):
+            every = list(names)
+            order = np.lexsort((*rows.T[::-1], group))
+            for i in range(0, len(order), 100_000):
+                part = order[i : i + 100_000]
+                grams = np.ascontiguousarray(rows[part]).view(f"<U{ORDER}").ravel()
+                of = pa.array(group[part])
+                columns = [pa.array([g[0] for g in every], pa.int32()).take(of), pa.array([g[1] for g in every], pa.string()).take(of), pa.array(grams.tolist(), pa.string()), pa.array(n[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", "lang", "gram", "n"])
+
         for batch in batches:
-            langs, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in tv.chunks(texts):
-                taken = np.flatnonzero(for_model(base_counts(texts[a:b]))) + a
+            for a, b in pieces(batch, PIECE):
+                part = batch.slice(a, b - a)
+                texts = part.column(2).to_pylist()
+                taken = np.flatnonzero(~base_failed(base_counts(texts)) & prose(texts))
                 if not len(taken):
                     continue
-                of = [langs[i] for i in taken]
-                code, at = grams([texts[i] for i in taken])
-                number = {x: i for i, x in enumerate(dict.fromkeys(of))}
-                owner = np.repeat([number[x] for x in of], np.diff(at))
-                both, n = np.unique(code.astype(np.int64) | owner.astype(np.int64) << BITS * ORDER, return_counts=True)
-                for x, i in number.items():
-                    lo, hi = np.searchsorted(both, [i << BITS * ORDER, (i + 1) << BITS * ORDER])
-                    key, m = both[lo:hi] & (1 << BITS * ORDER) - 1, n[lo:hi]
-                    if x in held:
-                        old, count = held[x]
-                        every, back = np.unique(np.concatenate([old, key]), return_inverse=True)
-                        key, m = every, np.bincount(back, np.concatenate([count, m])).astype(np.int64)
-                    held[x] = key, m
-        for x, (key, m) in held.items():
-            for i in range(0, len(key), 200_000):
-                part = key[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(part), pa.string()), pa.array(part), pa.array(m[i : i + 200_000])], names=["lang", "code", "n"])
-
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+                groups = _group_names(part.column(0), part.column(1))
+                found = Windows([texts[i] for i in taken], [groups[i] for i in taken])
+                number = np.array([names.setdefault(g, len(names)) for g in found.groups])
+                parts.append((found.hash, number[found.group], found.rows, found.times))
+                if sum(len(p[0]) for p in parts) > HELD:
+                    parts[:] = [merged()]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield from emitted(*parts.pop())
+        if parts:
+            yield from emitted(*merged())
+
+    rows = docs.select(_fold(text_col).alias("model"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = rows.mapInArrow(lean(run), "model int, lang string, gram string, n bigint")
+    if FOLDS > 1:
+        others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda m: m != F.col("model"))
+        counts = counts.withColumn("model", F.explode(others))
+    return counts.groupBy("model", "lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame) -> DataFrame:
-    """lang, code, logp, logb of every n-gram of every order, by modified Kneser-Ney.
+    """model, lang, gram, logp, logb of every n-gram of every order, by modified Kneser-Ney.
 
-    ``code`` holds the order above the n-gram's own bits.  ``logp`` is the interpolated log
-    probability of its last symbol after the others; ``logb`` is the log of the weight left
-    to shorter contexts where the n-gram is the context.  The row of order 0 is the even
-    distribution.
+    ``logp`` is the interpolated log probability of the n-gram's last symbol after the others
+    (null for a context which is no n-gram itself, such as the gaps before a text); ``logb``
+    is the log of the weight left to shorter contexts where the n-gram is the context (0 where
+    nothing follows it).  Both are in units.  The empty gram is the even distribution.
     """
-    levels = {ORDER: durable(counts)}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", (F.col("code") % (1 << BITS * k)).alias("code")).agg(F.count("*").alias("n"))
-    probs: dict[int, DataFrame] = {}
-    weights: dict[int, DataFrame] = {}
-    for k, level in sorted(levels.items()):
-        seen = level.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        usual = F.least("n1", "n2", "n3") > 0
-        # Where counts of counts are missing (few texts), half a count is taken from each.
-        taken = [F.when(usual, F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
-        level = level.join(seen.select("lang", *taken), "lang").select(
-            "lang", "code", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"), F.shiftright("code", BITS).alias("context")
-        )
-        level = level.withColumn("d", F.least("d", F.col("n") * 0.9))
-        total = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left"))
-        weights[k - 1] = total.select("lang", F.col("context").alias("code"), F.log("left").alias("logb"))
-        level = level.join(total, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
-        if k == 1:
-            level = level.withColumn("q", F.lit(1 / (1 << BITS)))
-        else:
-            shorter = probs[k - 1].select("lang", F.col("code").alias("suffix"), F.col("p").alias("q"))
-            level = level.withColumn("suffix", F.col("code") % (1 << BITS * (k - 1))).join(shorter, ["lang", "suffix"])
-        probs[k] = durable(level.select("lang", "code", (F.col("own") + F.col("left") * F.col("q")).alias("p")))
-    out = weights[0].select("lang", F.lit(0).cast("bigint").alias("code"), F.lit(-BITS * float(np.log(2))).alias("logp"), "logb")
-    for k, rows in probs.items():
-        # A context of gaps before a text's start is no n-gram itself: it has a weight only.
-        rows = rows.join(weights[k], ["lang", "code"], "full") if k < ORDER else rows.withColumn("logb", F.lit(0.0))
-        out = out.unionByName(rows.select("lang", (F.col("code") + (k << BITS * ORDER)).alias("code"), F.log("p").alias("logp"), F.coalesce("logb", F.lit(0.0)).alias("logb")))
+    levels = [durable(counts)]
+    for _ in range(ORDER - 1):
+        levels.append(durable(levels[-1].groupBy("model", "lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    grams = levels[0]
+    for level in levels[1:]:
+        grams = grams.unionByName(level)
+    grams = grams.withColumn("k", F.length("gram"))
+    # One small row a model, language and order; written, so that Spark knows its size and sends it if it is small.
+    seen = durable(grams.groupBy("model", "lang", "k").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    usual = F.least("n1", "n2", "n3") > 0
+    # Where counts of counts are missing (few texts), half a count is taken from each.
+    taken = [F.when(usual, F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
+    less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    grams = grams.join(seen.select("model", "lang", "k", *taken), ["model", "lang", "k"])
+    grams = grams.select("model", "lang", "k", "gram", F.expr("substring(gram, 1, k - 1)").alias("context"), "n", F.least(less, F.col("n") * 0.9).alias("d"))
+    total = durable(grams.groupBy("model", "lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left")))
+    own = durable(grams.join(total, ["model", "lang", "context"]).select("model", "lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "left"))
+    of = lambda k: own.filter(F.col("k") == k)
+    probs = [durable(of(1).select("model", "lang", "gram", (F.col("own") + F.col("left") / 0x110000).alias("p")))]
+    for k in range(2, ORDER + 1):
+        shorter = probs[-1].select("model", "lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        longer = of(k).withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["model", "lang", "suffix"])
+        probs.append(durable(longer.select("model", "lang", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p"))))
+    every = probs[0]
+    for p in probs[1:]:
+        every = every.unionByName(p)
+    weights = total.select("model", "lang", F.col("context").alias("gram"), "left")
+    whole = lambda c: F.round(F.log(c) * UNIT).cast("int")
+    logp = F.when(F.col("gram") == "", F.lit(EVEN)).otherwise(whole("p"))
+    out = durable(every.join(weights, ["model", "lang", "gram"], "full").select("model", "lang", "gram", logp.alias("logp"), F.coalesce(whole("left"), F.lit(0)).alias("logb")))
+    discard(*levels, seen, total, own, *probs)
     return out
 
 
-class Model:
-    """Sorted arrays of n-gram codes by language, with log probabilities and backoff weights."""
-
-    def __init__(self, langs: np.ndarray, code: np.ndarray, logp: np.ndarray, logb: np.ndarray):
-        self.by: dict[str, tuple[np.ndarray, ...]] = {}
-        if not len(code):
-            return
-        order = np.lexsort((code, langs))
-        names, first = np.unique(langs[order], return_index=True)
-        for x, part in zip(names.tolist(), np.split(order, first[1:]), strict=True):
-            self.by[x] = code[part].astype(np.int32), logp[part].astype(np.float32), logb[part].astype(np.float32)
-
-    def logp(self, lang: str, code: np.ndarray) -> np.ndarray:
-        """Log probability of the n-grams' last symbols, backing off where they are unknown."""
-        out = np.zeros(len(code))
-        if lang not in self.by:
-            return out - BITS * np.log(2)
-        codes, logp, logb = self.by[lang]
-        ask = np.arange(len(code))
+class Arrays:
+    """One slice of the model: sorted hashes of n-grams and of contexts, each with its numbers."""
+
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], number: int = 0, slices: int = 1):
+        self.grams, self.contexts = ((h[o := np.argsort(h)], v[o]) for h, v in (grams, contexts))
+        self.number, self.slices = number, slices
+
+    @staticmethod
+    def find(table: tuple[np.ndarray, np.ndarray], ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is in the table, and its number or 0."""
+        keys, values = table
+        if not len(keys):
+            return np.zeros(len(ask), bool), np.zeros(len(ask), np.int64)
+        at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+        hit = keys[at] == ask
+        return hit, np.where(hit, values[at], 0).astype(np.int64)
+
+    def logp(self, rows: np.ndarray, group: np.ndarray, groups: list[tuple[int, str]]) -> np.ndarray:
+        """Log probability, in units, of the last symbol of each row of symbols, backing off where it is unknown.
+
+        Rows of other slices count 0.
+        """
+        out = np.zeros(len(rows), np.int64)
+        ask = np.arange(len(rows)) if self.slices == 1 else np.flatnonzero(which(rows[:, -3:-1], self.slices) == self.number)
         for k in range(ORDER, -1, -1):
-            want = code[ask] & (1 << BITS * k) - 1
-            at = np.minimum(np.searchsorted(codes, want | k << BITS * ORDER), len(codes) - 1)
-            hit = (codes[at] == want | k << BITS * ORDER) & ~np.isnan(logp[at])
-            out[ask[hit]] += logp[at[hit]]
-            ask, want = ask[~hit], want[~hit]
-            if not k or not len(ask):
+            part, of = rows[ask], group[ask]
+            own = tv.mix64(hashes(part[:, ORDER - k :], k)[:, 0] + salts(groups, k)[of])
+            hit, value = self.find(self.grams, own)
+            out[ask] += value
+            ask, part, of = ask[~hit], part[~hit], of[~hit]
+            if not len(ask):
                 break
-            context = want >> BITS | (k - 1) << BITS * ORDER
-            at = np.minimum(np.searchsorted(codes, context), len(codes) - 1)
-            out[ask] += np.where(codes[at] == context, logb[at], 0)
+            if k == 0:
+                out[ask] += EVEN
+                break
+            context = tv.mix64(hashes(part[:, ORDER - k : -1], k - 1)[:, 0] + salts(groups, k - 1)[of])
+            out[ask] += self.find(self.contexts, context)[1]
         return out
 
-    def entropy(self, langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean negative log probability of each text's symbols, and how many it has."""
-        code, at = grams(texts)
-        size = np.diff(at)
-        number = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        owner = np.repeat([number[x] for x in langs], size)
-        uniq, back = np.unique(code.astype(np.int64) | owner.astype(np.int64) << BITS * ORDER, return_inverse=True)
-        value = np.zeros(len(uniq))
-        for x, i in number.items():
-            lo, hi = np.searchsorted(uniq, [i << BITS * ORDER, (i + 1) << BITS * ORDER])
-            value[lo:hi] = self.logp(x, (uniq[lo:hi] & (1 << BITS * ORDER) - 1).astype(np.int32))
-        sums = np.concatenate([[0], np.cumsum(value[back])])[at]
-        return -np.diff(sums) / size, size
-
-
-def load_model(spark: SparkSession, model: DataFrame):
-    """The fitted model as a broadcast, or None where it has more than ``SENT_GRAMS`` rows."""
-    if model.count() > SENT_GRAMS:
-        return None
-    table = model.toArrow()
-    arrays = [table.column(c).to_numpy() for c in ("code", "logp", "logb")]
-    return spark.sparkContext.broadcast(Model(table.column("lang").to_numpy().astype(str), *arrays))
-
-
-def score(docs: DataFrame, sent, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts of the rules, base_failed, entropy and size of each text, by the model.
-
-    With the model at the workers a text is scored where it is read.  A model too large for
-    that is joined: each text's distinct n-grams are dealt by language and code, and those
-    the model doesn't know back off as they do at the workers.
+    def sums(self, texts: list[str], groups: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the negative log probabilities of each text's symbols, in units, and how many it has."""
+        found = Windows(texts, groups)
+        value = self.logp(found.rows, found.group, found.groups)
+        total = np.concatenate([[0], np.cumsum(value[found.back])])
+        return -np.diff(total[np.concatenate([[0], np.cumsum(found.size)])]), found.size
+
+
+def which(two: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of the n-grams whose last symbol follows these two."""
+    return (tv.mix64(hashes(two, 2)[:, 0]) % np.uint64(slices)).astype(np.int64)
+
+
+def arrays(model: DataFrame, slices: int) -> DataFrame:
+    """slice, kind, hashes, numbers: the model's n-grams (kind 0) and contexts (kind 1) as packed arrays.
+
+    What is too short to name two symbols before the foretold one belongs to all slices.
     """
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys, (langs, texts) = batch.column(0), (c.to_pylist() for c in batch.columns[1:])
-            for a, b in tv.chunks(texts):
-                base = base_counts(texts[a:b])
-                plain = [keys.slice(a, b - a), pa.array(langs[a:b], pa.string()), *[pa.array(base[c], pa.int64()) for c in COUNTS], pa.array(base_failed(base))]
-                names = ["key", "lang", *COUNTS, "base_failed"]
-                if sent is not None:
-                    entropy, size = sent.value.entropy(langs[a:b], texts[a:b])
-                    yield pa.RecordBatch.from_arrays([*plain, pa.array(entropy), pa.array(size)], names=[*names, "entropy", "size"])
+            groups = _group_names(batch.column(0), batch.column(1))
+            every = list(dict.fromkeys(groups))
+            number = {g: i for i, g in enumerate(every)}
+            of = np.array([number[g] for g in groups], np.int64)
+            grams = batch.column(2).to_pylist()
+            size = np.array([len(g) for g in grams])
+            has = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            logp = batch.column(3).fill_null(0).to_numpy()
+            logb = batch.column(4).to_numpy()
+            out: list[tuple] = []
+            for k in range(ORDER + 1):
+                at = np.flatnonzero(size == k)
+                if not len(at):
                     continue
-                code, at = grams(texts[a:b])
-                found = [np.unique(code[x:y], return_counts=True) for x, y in zip(at[:-1], at[1:], strict=True)]
-                lists = [pa.array([f[i].tolist() for f in found], pa.list_(pa.int64())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*plain, *lists, pa.array(np.diff(at))], names=[*names, "codes", "times", "size"])
-
-    head = f"key {kind}, lang string, {counts}, base_failed boolean"
-    if sent is not None:
-        return rows.mapInArrow(run, f"{head}, entropy double, size bigint").withColumnRenamed("key", id_col)
-    wide = durable(rows.mapInArrow(run, f"{head}, codes array<bigint>, times array<bigint>, size bigint").withColumn("row", F.monotonically_increasing_id()))
-    each = wide.select("row", "lang", F.explode(F.arrays_zip("codes", "times")).alias("g")).select("row", "lang", (F.col("g.codes") + (ORDER << BITS * ORDER)).alias("code"), "g.times")
-    sums = each.join(_joined_logp(each, model), ["lang", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("sum"))
-    wide = wide.drop("codes", "times").join(sums, "row").withColumn("entropy", -F.col("sum") / F.col("size"))
-    return wide.drop("row", "sum").withColumnRenamed("key", id_col)
-
-
-def _joined_logp(each: DataFrame, model: DataFrame) -> DataFrame:
-    """lang, code, logp of every n-gram of the highest order in ``each``, backing off by joins."""
-    low = lambda k: F.col("code") % (1 << BITS * k)
-    parts = [F.struct(F.lit(f"p{k}").alias("part"), (low(k) + (k << BITS * ORDER)).alias("want")) for k in range(ORDER + 1)]
-    parts += [F.struct(F.lit(f"b{k}").alias("part"), (F.shiftright(low(k), BITS) + (k - 1 << BITS * ORDER)).alias("want")) for k in range(1, ORDER + 1)]
-    asked = each.select("lang", "code").distinct().select("lang", "code", F.explode(F.array(*parts)).alias("x")).select("lang", "code", "x.part", "x.want")
-    known = asked.join(model.select("lang", F.col("code").alias("want"), "logp", "logb"), ["lang", "want"], "left")
-    of = lambda part, value: F.max(F.when(F.col("part") == part, F.col(value))).alias(part)
-    known = known.groupBy("lang", "code").agg(*[of(f"p{k}", "logp") for k in range(ORDER + 1)], *[of(f"b{k}", "logb") for k in range(1, ORDER + 1)])
-    value = F.coalesce("p0", F.lit(-BITS * float(np.log(2))))
-    for k in range(1, ORDER + 1):
-        value = F.coalesce(F.col(f"p{k}"), F.coalesce(f"b{k}", F.lit(0.0)) + value)
-    return known.select("lang", "code", value.alias("logp"))
-
-
-def fit_bands(scored: DataFrame) -> DataFrame:
+                rows = tv.to_codepoints("".join([grams[i] for i in at.tolist()])).reshape(len(at), k)
+                own = tv.mix64(hashes(rows, k)[:, 0] + salts(every, k)[of[at]])
+                for kind, value, wanted, before in ((0, logp, has[at], rows[:, -3:-1]), (1, logb, logb[at] != 0, rows[:, -2:])):
+                    place = which(before, slices) if before.shape[1] == 2 else None
+                    for s in range(slices):
+                        here = np.flatnonzero(wanted if place is None else wanted & (place == s))
+                        if len(here):
+                            out.append((s, kind, own[here].astype("<u8").tobytes(), value[at[here]].astype("<i4").tobytes()))
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["slice", "kind", "hashes", "numbers"])
+
+    return model.select("model", "lang", "gram", "logp", "logb").mapInArrow(lean(run), "slice int, kind int, hashes binary, numbers binary")
+
+
+def load_slice(packed: DataFrame, number: int, slices: int) -> Arrays:
+    """One slice of the model on the driver: at most about ``SLICE`` n-grams, 12 bytes each."""
+    rows = packed.filter(F.col("slice") == number).toArrow()
+    kind = rows.column("kind").to_numpy()
+    tables = []
+    for k in (0, 1):
+        at = np.flatnonzero(kind == k).tolist()
+        parts = [np.concatenate([np.zeros(0, t), *[np.frombuffer(rows.column(c)[i].as_buffer(), t) for i in at]]) for c, t in (("hashes", "<u8"), ("numbers", "<i4"))]
+        tables.append(tuple(parts))
+    return Arrays(*tables, number, slices)
+
+
+def score(docs: DataFrame, model: DataFrame, name: str, text_col: str, lang_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of the table, written, with a struct ``name``: lang, the rules' counts, base_failed, prose, sum and size of each text."""
+    spark = docs.sparkSession
+    slices = max(1, -(-model.count() // SLICE))
+    packed = durable(arrays(model, slices))
+    fields = [T.StructField("lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS]]
+    fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("prose", T.BooleanType()), T.StructField("sum", T.LongType()), T.StructField("size", T.LongType())]
+    stats = T.StructType(fields)
+    row, fold, lang, text = (fresh(docs, c) for c in ("__row", "__fold", "__lang", "__text"))
+
+    def summed(rows: DataFrame, number: int, keep: list[str]) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(load_slice(packed, number, slices))
+        width = len(keep)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for a, b in pieces(batch, PIECE):
+                    part = batch.slice(a, b - a)
+                    texts = part.column(width + 2).to_pylist()
+                    groups = _group_names(part.column(width), part.column(width + 1))
+                    total, size = sent.value.sums(texts, groups)
+                    base = base_counts(texts)
+                    columns = [pa.array([g[1] for g in groups], pa.string()), *[pa.array(base[c], pa.int64()) for c in COUNTS], pa.array(base_failed(base)), pa.array(prose(texts)), pa.array(total), pa.array(size)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.StructArray.from_arrays(columns, names=[f.name for f in fields])], names=[*keep, name])
+
+        rows = rows.select(*keep, _fold(text_col).alias(fold), F.coalesce(F.col(lang_col), F.lit("")).alias(lang), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+        schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(name, stats)])
+        return durable(rows.mapInArrow(lean(run), schema)), sent
+
+    if slices == 1:
+        out, sent = summed(docs, 0, keep)
+        sent.destroy()
+    else:
+        # Rows are numbered once and written: their numbers must hold for all slices.
+        numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+        parts = []
+        for s in range(slices):
+            part, sent = summed(numbered, s, [row])
+            sent.destroy()
+            parts.append(part)
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        first = {f.name: F.max(F.col(f"{name}.{f.name}")).alias(f.name) for f in fields} | {"sum": F.sum(F.col(f"{name}.sum")).alias("sum")}
+        facts = every.groupBy(row).agg(*first.values())
+        facts = facts.select(row, F.struct(*[f.name for f in fields]).alias(name))
+        out = durable(numbered.join(facts, row).select(*keep, name))
+        discard(numbered, *parts)
+    discard(packed)
+    return out
+
+
+def entropy(name: str) -> Column:
+    return F.col(f"{name}.sum") / F.col(f"{name}.size") / UNIT
+
+
+def fit_bands(scored: DataFrame, name: str) -> DataFrame:
     """lang, middle, spread: median and interquartile range of the model's texts.
 
     They are read from a histogram, so all texts count and none moves.  A range narrower
-    than fifty bins (a language of copies) is widened to that.
+    than ten bins (a language of copies) is widened to that.
     """
-    from pyspark.sql import Window
+    ours = ~F.col(f"{name}.base_failed") & F.col(f"{name}.prose")
+    bins = scored.filter(ours).groupBy(F.col(f"{name}.lang").alias("lang"), F.floor(entropy(name) / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    table = bins.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
+
+    def q(share: float) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("bin"))
+        step = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["bin"].isNull() & (a["n"] + b["n"] >= F.col("all") * share), b["bin"]).otherwise(a["bin"]).alias("bin"))
+        return F.aggregate("bins", start, step, lambda a: a["bin"] * BIN)
 
-    ours = ~F.col("base_failed") & (100 * F.col("n_symbols") <= MODEL_SYMBOL_PERCENT * F.col("n_words"))
-    bins = scored.filter(ours).groupBy("lang", F.floor(F.col("entropy") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) / F.sum("n").over(Window.partitionBy("lang"))
-    q = lambda x: F.min(F.when(F.col("upto") >= x, F.col("bin"))) * BIN
-    return bins.withColumn("upto", upto).groupBy("lang").agg(q(0.5).alias("middle"), F.greatest(q(0.75) - q(0.25), F.lit(50 * BIN)).alias("spread"))
+    return durable(table.select("lang", q(0.5).alias("middle"), F.greatest(q(0.75) - q(0.25), F.lit(10 * BIN)).alias("spread")))
 
 
-def judge(scored: DataFrame, bands: DataFrame) -> DataFrame:
-    """Adds perplexity, its lower and upper bound, and kept."""
-    reach = F.col("spread") * F.sqrt(1 + SHORT / F.col("size"))
-    low, high = F.col("middle") - BELOW * reach, F.col("middle") + ABOVE * reach
-    inside = F.coalesce(F.col("entropy").between(low, high), F.lit(True))
-    return scored.join(bands, "lang", "left").select(
-        *[c for c in scored.columns if c not in ("lang", "entropy", "size")],
-        (~F.col("base_failed") & inside).alias("kept"),
-        F.exp("entropy").alias("perplexity"),
-        F.exp(low).alias("lower"),
-        F.exp(high).alias("upper"),
-    )
+def judge(scored: DataFrame, bands: DataFrame, name: str) -> DataFrame:
+    """Adds kept, perplexity, and its lower and upper bound to the struct column."""
+    own = fresh(scored, "__band")
+    reach = F.col(f"{own}.spread") * F.sqrt(1 + SHORT / F.col(f"{name}.size"))
+    low, high = F.col(f"{own}.middle") - BELOW * reach, F.col(f"{own}.middle") + ABOVE * reach
+    inside = F.coalesce(entropy(name).between(low, high), F.lit(True))
+    joined = scored.join(bands.select(F.struct("*").alias(own)), F.col(f"{name}.lang") == F.col(f"{own}.lang"), "left")
+    verdict = {"kept": ~F.col(f"{name}.base_failed") & inside, "perplexity": F.exp(entropy(name)), "lower": F.exp(low), "upper": F.exp(high)}
+    stats = F.col(name)
+    for key, value in verdict.items():
+        stats = stats.withField(key, value)
+    return joined.withColumn(name, stats).drop(own)
+
+
+def _judged(docs: DataFrame, name: str, text_col: str, lang_col: str, keep: list[str]) -> DataFrame:
+    model = fit(count_grams(docs, text_col, lang_col))
+    scored = score(docs, model, name, text_col, lang_col, keep)
+    discard(model)
+    return judge(scored, fit_bands(scored, name), name)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The verdict on each text, by a model and bands fitted on the model's texts among them.
+    """The verdict on each text, by models and bands fitted on the prose among them.
 
     One row per input row, repeated rows included.  A null text counts as empty and fails the
-    counting rules; a null language is a language of its own; one with none of the model's
-    texts has no band and loses nothing to it; an empty table gives an empty table;
-    other columns are not read.
+    counting rules; a null language is a language of its own; one without prose has no band
+    and loses nothing to it; very long texts are read whole; an empty table gives an empty
+    table; other columns are not read.
     """
-    scored = durable(score(docs, *_fitted(docs, text_col, lang_col), id_col, text_col, lang_col))
-    return judge(scored, fit_bands(scored))
-
-
-def _fitted(docs: DataFrame, text_col: str, lang_col: str):
-    model = durable(fit(count_grams(docs, text_col, lang_col)))
-    return load_model(docs.sparkSession, model), model
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    done = _judged(texts, "v", "text", "lang", ["key"])
+    return done.select(F.col("key").alias(id_col), *[F.col(f"v.{c}") for c in (*COUNTS, "base_failed", "kept", "perplexity", "lower", "upper")])
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of the table that pass, with all their columns.
+    """The rows of the table that pass, with all their columns, whatever these are called.
 
-    Rows are scored once for the bands and once more for the verdict, where they are read,
-    so no text is shuffled.
+    Rows are written once with their figures, so that no text is scored again for the verdict.
     """
-    sent, model = _fitted(docs, text_col, lang_col)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    scored = durable(score(numbered, sent, model, "__row", text_col, lang_col))
-    bands = fit_bands(scored)
-    if sent is None:
-        return numbered.join(judge(scored, bands).filter("kept").select("__row"), "__row", "left_semi").drop("__row")
-    spans = {r["lang"]: (r["middle"], r["spread"]) for r in bands.collect()}  # one row a language
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            langs = [x or "" for x in batch.column(batch.schema.names.index(lang_col)).to_pylist()]
-            for a, b in tv.chunks(texts):
-                entropy, size = sent.value.entropy(langs[a:b], texts[a:b])
-                middle, spread = np.array([spans.get(x, (0.0, np.inf)) for x in langs[a:b]]).T
-                beyond = (entropy - middle) / (spread * np.sqrt(1 + SHORT / size))
-                keep = ~base_failed(base_counts(texts[a:b])) & (beyond >= -BELOW) & (beyond <= ABOVE)
-                yield batch.slice(a, b - a).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    name = fresh(docs, "__verdict")
+    return _judged(docs, name, text_col, lang_col, docs.columns).filter(F.col(f"{name}.kept")).select(docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import unicodedata
 import numpy as np
 
 from . import textvec as tv
+from .common import loaded
 
 LONG = 160
 _NONE = np.int32(2**31 - 1)
@@ -224,7 +225,6 @@ class RankBpe:
         return b" ".join([token[i] for i in ids.tolist()])
 
 
-@functools.cache
 def load(path: str) -> RankBpe:
-    """One encoder for each worker process and vocabulary file."""
-    return RankBpe(path)
+    """The worker's encoder for a vocabulary file."""
+    return loaded(RankBpe, path)

@@ -34,56 +34,129 @@ def test_counts_and_rules(spark, make, odd_texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def windows(t):
+    """The n-grams of the highest order of a text, white space being one gap."""
+    t = " " * (q.ORDER - 1) + re.sub(r"\s+", " ", t + " ")
+    return [t[i : i + q.ORDER] for i in range(len(t) - q.ORDER + 1)]
+
+
 def brute_model(texts):
-    """Modified Kneser-Ney in dictionaries, over the operator's codes."""
-    top = collections.Counter()
-    for t in texts:
-        top.update(q.grams([t])[0].tolist())
-    levels = {q.ORDER: dict(top)}
-    for k in range(q.ORDER - 1, 0, -1):
-        levels[k] = dict(collections.Counter(c % (1 << q.BITS * k) for c in levels[k + 1]))
-    prob, below = {}, None
-    for k, level in sorted(levels.items()):
+    """Modified Kneser-Ney in dictionaries: probabilities by n-gram, and the weight left to shorter contexts."""
+    level = collections.Counter(g for t in texts for g in windows(t))
+    levels = [level]
+    for _ in range(q.ORDER - 1):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    prob, weight = {"": 1 / 0x110000}, {}
+    for level in reversed(levels):
         n = [sum(c == i for c in level.values()) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0
         d = [max(0.1, i - (i + 1) * y * n[i] / n[i - 1]) for i in (1, 2, 3)] if min(n[:3]) else [0.5] * 3
         take = lambda c: min(d[min(c, 3) - 1], 0.9 * c)  # noqa: E731,B023
         total, left = collections.Counter(), collections.Counter()
-        for code, c in level.items():
-            total[code >> q.BITS] += c
-            left[code >> q.BITS] += take(c)
-        prob = {
-            code: (c - take(c)) / total[code >> q.BITS] + left[code >> q.BITS] / total[code >> q.BITS] * (below[code % (1 << q.BITS * (k - 1))] if below else 1 / 64)
-            for code, c in level.items()
-        }
-        below = prob
-    return prob
+        for g, c in level.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += take(c)
+        weight |= {g: left[g] / total[g] for g in total}
+        prob |= {g: (c - take(c)) / total[g[:-1]] + weight[g[:-1]] * prob[g[1:]] for g, c in level.items()}
+    return prob, weight
+
+
+def brute_logp(model, gram):
+    prob, weight = model
+    return np.log(prob[gram]) if gram in prob else np.log(weight.get(gram[:-1], 1.0)) + brute_logp(model, gram[1:])
+
+
+def brute_entropy(model, text):
+    return -np.mean([brute_logp(model, g) for g in windows(text)])
+
+
+def folds(docs):
+    return {r[0]: r[1] for r in docs.select("doc_id", q._fold("text")).collect()}
+
+
+PROSE = [words(150, i).capitalize() + f". Hello! Ünder {i}\n\n 你好" for i in range(12)]
 
 
 def test_model_against_brute_force(spark, make):
-    texts = [words(150, i) + ". Hello!" for i in range(6)]
-    counts = q.count_grams(make(texts))
-    want = brute_model(texts)
-    rows = {r["code"]: r["logp"] for r in q.fit(counts).filter(F.col("code") >= q.ORDER << q.BITS * q.ORDER).collect()}
-    assert len(rows) == len(want)
-    for code, p in want.items():
-        assert rows[code + (q.ORDER << q.BITS * q.ORDER)] == pytest.approx(np.log(p), abs=1e-9)
+    docs = make(PROSE)
+    of, rows = folds(docs), collections.defaultdict(dict)
+    for r in q.fit(q.count_grams(docs)).collect():
+        assert r["lang"] == "en"
+        rows[r["model"]][r["gram"]] = r
+    for m in range(q.FOLDS):
+        prob, weight = brute_model([t for i, t in enumerate(PROSE) if of[i] != m])
+        assert {g for g, r in rows[m].items() if r["logp"] is not None} == set(prob)
+        for g, p in prob.items():
+            assert rows[m][g]["logp"] == pytest.approx(np.log(p) * q.UNIT, abs=0.51)
+        for g, w in weight.items():
+            assert rows[m][g]["logb"] == pytest.approx(np.log(w) * q.UNIT, abs=0.51)
 
 
-def test_probabilities_sum_to_one(spark, make):
-    model = q.load_model(spark, q.fit(q.count_grams(make([words(400, 5)])))).value
-    for context in (0, 5 << 12 | 9 << 6 | 11, 1 << 12 | 1 << 6 | 1):
-        codes = (context << 6) + np.arange(64)
-        assert np.exp(model.logp("en", codes.astype(np.int32))).sum() == pytest.approx(1, abs=0.02)
+def load(docs, slices=1):
+    packed = q.arrays(q.fit(q.count_grams(docs)), slices)
+    return [q.load_slice(packed, s, slices) for s in range(slices)]
 
 
-def test_joined_model_gives_the_same(spark, make, monkeypatch):
-    docs = make([words(60 + i, i) for i in range(30)] + [None, ""])
-    first = {r["doc_id"]: r for r in q.quality(docs).collect()}
-    monkeypatch.setattr(q, "SENT_GRAMS", 0)
-    for r in q.quality(docs).collect():
-        assert r["perplexity"] == pytest.approx(first[r["doc_id"]]["perplexity"], rel=1e-5)
-        assert r["kept"] == first[r["doc_id"]]["kept"]
+def test_probabilities_sum_to_one(spark, make):
+    (model,) = load(make([words(400, 5), words(400, 6), words(400, 7), words(400, 8)]))
+    every = np.arange(0x110000, dtype=np.uint32)
+    for context in ("    ", "QZ你x", "a b "):
+        rows = np.column_stack([np.full(len(every), ord(c), np.uint32) for c in context] + [every])
+        for m in range(q.FOLDS):
+            assert np.exp(model.logp(rows, np.zeros(len(rows), np.int64), [(m, "en")]) / q.UNIT).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_perplexity_and_verdict_against_brute_force(spark, make):
+    junk = [words(60, 50).upper(), " | ".join(words(60, 51).split()), "zz " * 60]
+    texts = [*PROSE, *junk]
+    docs = make(texts)
+    of, models = folds(docs), {}
+    taught = [t for t in texts if not brute(t)[0] < 50 and 2 * brute(t)[4] <= brute(t)[0] and t in PROSE]
+    for m in range(q.FOLDS):
+        models[m] = brute_model([t for i, t in enumerate(texts) if t in taught and of[i] != m])
+    want = [brute_entropy(models[of[i]], t) for i, t in enumerate(texts)]
+    ours = sorted(int(np.floor(x / q.BIN)) for t, x in zip(texts, want, strict=True) if t in taught)
+    at = lambda share: next(b for k, b in enumerate(ours, 1) if k >= share * len(ours)) * q.BIN
+    middle, spread = at(0.5), max(at(0.75) - at(0.25), 10 * q.BIN)
+    rows = {r["doc_id"]: r for r in q.quality(docs).collect()}
+    for i, t in enumerate(texts):
+        assert np.log(rows[i]["perplexity"]) == pytest.approx(want[i], abs=1e-5)
+        reach = spread * (1 + q.SHORT / len(windows(t))) ** 0.5
+        inside = middle - q.BELOW * reach <= want[i] <= middle + q.ABOVE * reach
+        assert rows[i]["kept"] == (inside and not rows[i]["base_failed"])
+    assert not any(rows[len(PROSE) + i]["kept"] for i in range(3))
+
+
+def test_slices_give_the_same(spark, make, monkeypatch, odd_texts):
+    docs = make([words(60 + i, i) for i in range(30)] + odd_texts)
+    first = sorted(q.quality(docs).collect())
+    kept = sorted(r["doc_id"] for r in q.keep_quality(docs).collect())
+    monkeypatch.setattr(q, "SLICE", 12_000)
+    assert sorted(q.quality(docs).collect()) == first
+    assert sorted(r["doc_id"] for r in q.keep_quality(docs).collect()) == kept
+
+
+def test_model_grows_with_the_corpus(spark, make):
+    size = [q.fit(q.count_grams(make([words(200, i) for i in range(n)]))).count() for n in (10, 40)]
+    assert size[1] > 2 * size[0]
+
+
+def test_symbols_and_windows():
+    texts = ["", "  ", "a", "a  b\n", " \x00x", "\U0001f600 é"]
+    s, at, size = q.symbols(texts)
+    assert size.tolist() == [len(windows(t.replace("\x00", " "))) for t in texts]
+    for t, a, n in zip(texts, at, size, strict=True):
+        got = ["".join(map(chr, s[a + i : a + i + q.ORDER])) for i in range(n)]
+        assert got == windows(t.replace("\x00", " "))
+
+
+def test_columns_whose_names_clash(spark, make):
+    docs = make([words(70 + i, i) for i in range(8)])
+    for name in ("__verdict", "__row", "__fold", "__lang", "__text", "__band", "v"):
+        docs = docs.withColumn(name, F.lit(7))
+    out = q.keep_quality(docs)
+    assert out.columns == docs.columns
+    assert out.filter("v = 7 and __verdict = 7 and __row = 7").count() == out.count() > 0
 
 
 def test_bands_reject_outliers_and_keep_the_rest(spark, make):
@@ -113,14 +186,3 @@ def test_symbol_junk_falls_outside_the_bands(spark, make):
     rows = q.quality(make(sound + junk)).collect()
     assert not any(r["base_failed"] for r in rows)
     assert {r["doc_id"] for r in rows if r["kept"]} == set(range(len(sound)))
-
-
-def test_joined_model_backs_off_for_unknown_ngrams(spark, make, monkeypatch):
-    sound, junk = junk_corpus()
-    docs = make(sound + junk + ["Zz"])
-    first = {r["doc_id"]: r for r in q.quality(docs).collect()}
-    monkeypatch.setattr(q, "SENT_GRAMS", 0)
-    rows = q.quality(docs).collect()
-    assert len(rows) == len(first)
-    for r in rows:
-        assert r["perplexity"] == pytest.approx(first[r["doc_id"]]["perplexity"], rel=1e-5)
