@@ -108,7 +108,7 @@ class Windows:
         self.symbols, first, self.size = symbols(texts)
         start = tv.spans(first, self.size)
         own = tv.mix64(hashes(self.symbols, ORDER)[start] + np.repeat(salts(self.groups, ORDER)[of], self.size))
-        self.hash, at, self.back, self.times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        self.hash, at, self.back, self.times = tv.distinct(own)
         self.group = np.repeat(of, self.size)[at]
         self.rows = np.lib.stride_tricks.sliding_window_view(self.symbols, ORDER)[start[at]]
 
@@ -126,7 +126,7 @@ def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
     words = tv.mix64(tv.span_hash(prefix, start, end) + (end - start).astype(np.uint64))
     here = np.flatnonzero(owner[2:] == owner[:-2]) if len(words) > 2 else np.zeros(0, np.int64)
     window = tv.mix64(tv.span_hash(tv.prefix_hash(words), here, here + 3)) + tv.mix64(owner[here] + 1)
-    _, back, times = np.unique(window, return_inverse=True, return_counts=True)
+    _, _, back, times = tv.distinct(window)
     found = here[times[back] > 1]
     covered = np.zeros(len(words), bool)
     for i in range(3):
@@ -194,12 +194,16 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         def merged():
             key, group, rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at, back = np.unique(key, return_index=True, return_inverse=True)
+            _, at, back, _ = tv.distinct(key)
             return key[at], group[at], rows[at], np.bincount(back, n).astype(np.int64)
 
         def emitted(key, group, rows, n):
             every = list(names)
-            order = np.lexsort((*rows.T[::-1], group))
+            # Alike n-grams side by side, as far as 12 bits of a symbol tell them, make small files.
+            alike = group.astype(np.uint64)
+            for i in range(ORDER):
+                alike = alike << np.uint64(12) | rows[:, i].astype(np.uint64) & np.uint64(0xFFF)
+            order = np.argsort(alike)
             for i in range(0, len(order), 100_000):
                 part = order[i : i + 100_000]
                 grams = np.ascontiguousarray(rows[part]).view(f"<U{ORDER}").ravel()

@@ -51,6 +51,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, one place of each, each key's row among them, and their times: a faster np.unique.
+
+    Well mixed keys are sorted by their upper bits, with their places in the lower ones.
+    Should two different keys share all upper bits, np.unique does the work.
+    """
+    n = len(keys)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    packed = np.sort(keys & ~low | np.arange(n, dtype=np.uint64))
+    place = (packed & low).astype(np.int64)
+    ordered = keys[place]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if np.any(new[1:] & ((packed[1:] ^ packed[:-1]) <= low)):
+        return np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    first = np.flatnonzero(new)
+    back = np.empty(n, np.int64)
+    back[place] = np.cumsum(new) - 1
+    return ordered[first], place[first], back, np.diff(np.append(first, n))
+
+
 def to_codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
