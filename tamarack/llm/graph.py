@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -26,8 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     are written to the shared folder, and only two numbers a round reach the driver.
     """
     state, rows = None, edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    before = None
     while True:
         rows = durable(rows)
+        if before is not None:
+            discard(before)
+        before = rows
         seen = rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == seen:
             return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).union(rows.select("v", "v")).distinct()

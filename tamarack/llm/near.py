@@ -5,12 +5,14 @@ node from here on.  A tree of the forest sorts the sets by a label of ``DEPTH``
 sets which share a prefix of their labels are candidates.  Matching starts with whole
 labels and shortens the prefix until the expected share of links found reaches ``TARGET``:
 each link found with similarity s counts for itself and for the 1/P(s) - 1 like it which
-the forest misses, P(s) = 1 - (1 - s^prefix)^trees.
+the forest misses, P(s) = 1 - (1 - s^prefix)^trees.  Links are between different sets, and
+each component counts alike, so that one large group can't speak for all the small ones.
+With one min-hash left, next to nothing is missed, so the target is always reached.
 
 Candidates only say what to compare.  Their components bring sets together, each set once,
 and all pairs of a component are then compared exactly.  Components with more than ``BLOCK``
-sets are cut into blocks of similar set sizes, and pairs of blocks are compared by separate
-tasks.  Pairs never leave a task: a set's links are added up there, and the links needed to
+sets, or ``CELLS`` shingles, are cut into blocks of similar set sizes, and pairs of blocks
+are compared by separate tasks.  Pairs never leave a task: a set's links are added up there, and the links needed to
 hold a class together leave as a star.
 """
 
@@ -19,16 +21,20 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import durable, read, shuffle_width
+from .common import discard, durable, fresh, lean, pieces, read, shuffle_width
 from .graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
+TREES, DEPTH = 20, 6
 TARGET = 0.9995
-BLOCK = 256
+#: Sets and shingles of one block (a set of more shingles is a block of its own).
+BLOCK, CELLS = 256, 1 << 17
 SALTS = 16
+#: Bytes of text which a task works on at once (more where one text has more).
+PIECE = 1 << 20
 #: Bits of the filter which spares texts without candidates a shuffle: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -66,14 +72,13 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in tv.chunks(texts):
-                sets = text_sets(texts[a:b])
+            for a, b in pieces(batch, PIECE):
+                sets = text_sets(batch.column(1).slice(a, b - a).to_pylist())
                 columns = [pa.array([set_number(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(labels(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["key", "sid", "n", "label"])
 
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, sid binary, n bigint, label binary")
+    return rows.mapInArrow(lean(run), f"key {dict(rows.dtypes)['key']}, sid binary, n bigint, label binary")
 
 
 def _candidates(sets: DataFrame, depth: int) -> DataFrame:
@@ -114,17 +119,17 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            at = np.flatnonzero(_hit(sent.value, batch.column(1).to_numpy()))
-            texts = batch.column(2).take(pa.array(at)).to_pylist()
-            for a, b in tv.chunks(texts):
-                sets = text_sets(texts[a:b])
-                keys = batch.column(0).take(pa.array(at[a:b]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([set_number(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["k", "sid", "shingles"])
+            batch = batch.filter(pa.array(_hit(sent.value, batch.column(1).to_numpy())))
+            for a, b in pieces(batch, PIECE):
+                sets = text_sets(batch.column(2).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([set_number(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["k", "sid", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("key", bit.alias("bit"), "text")
-    found = rows.mapInArrow(run, f"k {dict(rows.dtypes)['key']}, sid binary, shingles binary")
-    return wanted.join(found, "sid").filter(F.col("key").eqNullSafe(F.col("k"))).drop("k").dropDuplicates(["sid"])
+    found = rows.mapInArrow(lean(run), f"k {dict(rows.dtypes)['key']}, sid binary, shingles binary")
+    out = durable(wanted.join(found, "sid").filter(F.col("key").eqNullSafe(F.col("k"))).drop("k").dropDuplicates(["sid"]))
+    sent.destroy()
+    return out
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,8 +153,8 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
 def compare(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, depth: int, threshold: float = THRESHOLD):
     """Exact links within a block (all of side 0) or between two (sides 1 and 2).
 
-    Returns for each set the weight of its links and of those expected to be missed, and the
-    least set of its local class.
+    Returns for each set the weight of its links, their number, the number of those expected
+    to be missed, and the least set of its local class.
     """
     m, size = len(sets), np.array([len(s) for s in sets], np.float64)
     both = shared(sets).astype(np.float64)
@@ -166,53 +171,62 @@ def compare(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, depth:
         if (best == root).all():
             break
         root = best
-    return (link * weight[None, :]).sum(1), (missed * weight[None, :]).sum(1), root
+    return (link * weight[None, :]).sum(1), link.sum(1), missed.sum(1), root
 
 
 def _verify(rows: DataFrame, depth: int) -> DataFrame:
-    """sid, component, links, missed, root of the sets in rows(group, side, component, sid, copies, shingles)."""
-    fields = "sid binary, component binary, links bigint, missed double, root binary"
+    """sid, component, links, pairs, missed, root of the sets in rows(group, side, component, sid, copies, shingles)."""
+    fields = "sid binary, component binary, links bigint, pairs bigint, missed double, root binary"
 
     def run(batches):
         import pyarrow as pa
 
         def close(held):
-            sets = [np.frombuffer(h[5], "<u8") for h in held]
-            weight = np.array([h[4] for h in held], np.int64)
-            links, missed, root = compare(sets, np.array([h[1] for h in held]), weight, depth)
-            columns = [[h[3] for h in held], [h[2] for h in held], links, missed * weight, [held[r][3] for r in root.tolist()]]
-            types = [pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.binary()]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, columns, types)), names=["sid", "component", "links", "missed", "root"])
+            # Sets are read where Arrow holds them; no Python object is made of a shingle.
+            rows = pa.Table.from_batches(held).combine_chunks()
+            blobs = rows.column("shingles").chunk(0)
+            ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            raw = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+            sets = [raw[x:y].view("<u8") for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            weight = rows.column("copies").to_numpy()
+            links, pairs, missed, root = compare(sets, rows.column("side").to_numpy(), weight, depth)
+            columns = [rows.column("sid").chunk(0), rows.column("component").chunk(0), *map(pa.array, (links, pairs, missed)), rows.column("sid").chunk(0).take(pa.array(root))]
+            return pa.RecordBatch.from_arrays(columns, names=["sid", "component", "links", "pairs", "missed", "root"])
 
         group, held = None, []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != group:
-                    if held:
-                        yield close(held)
-                    group, held = row[0], []
-                held.append(row)
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if of[a] != group and held:
+                    yield close(held)
+                    held = []
+                group = of[a]
+                held.append(batch.slice(a, b - a))
         if held:
             yield close(held)
 
-    return rows.sortWithinPartitions("group", "sid").mapInArrow(run, fields)
+    return rows.sortWithinPartitions("group", "sid").mapInArrow(lean(run), fields)
 
 
 def _groups(members: DataFrame) -> DataFrame:
     """Deals members(component, sid, n, ...) into the groups whose pairs are compared.
 
-    A component of at most BLOCK sets is one group.  In a larger one, sets whose sizes are
+    A component of at most BLOCK sets and CELLS shingles is one group.  In a larger one, sets whose sizes are
     more than a step of 1 / threshold apart can't be linked, so blocks are pieces of such
     steps, and a group is a block or two blocks of the same or of neighbouring steps.
     """
     step = F.floor(F.log("n") / float(np.log(1 / THRESHOLD) + 1e-9)).cast("int")
     members = members.withColumn("step", step)
-    counts = members.groupBy("component", "step").agg(F.count("*").alias("c"))
-    total = counts.groupBy("component").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("c") / BLOCK).cast("int")))).alias("blocks"))
+    counts = members.groupBy("component", "step").agg(F.count("*").alias("c"), F.sum("n").alias("cells"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.least("c", F.ceil(F.col("cells") / CELLS))).cast("int")
+    total = counts.groupBy("component").agg(F.greatest(F.sum("c") / BLOCK, F.sum("cells") / CELLS).alias("total"), F.map_from_entries(F.collect_list(F.struct("step", blocks))).alias("blocks"))
     members = members.join(total, "component")
     keep = ["component", "sid", "copies", "key"]
-    few = members.filter(F.col("total") <= BLOCK).select(*keep, F.xxhash64("component").alias("group"), F.lit(0).alias("side"))
-    many = members.filter(F.col("total") > BLOCK)
+    few = members.filter("total <= 1").select(*keep, F.xxhash64("component").alias("group"), F.lit(0).alias("side"))
+    many = members.filter("total > 1")
     many = many.withColumn("here", F.struct("step", F.pmod(F.xxhash64("sid"), F.element_at("blocks", F.col("step"))).cast("int").alias("own")))
     near = F.expr(
         "flatten(transform(filter(array(step - 1, step, step + 1), s -> map_contains_key(blocks, s)), "
@@ -224,35 +238,45 @@ def _groups(members: DataFrame) -> DataFrame:
     return few.union(many.select(*keep, group.alias("group"), side.alias("side")))
 
 
+def _recall(found: DataFrame) -> float:
+    """Expected share of the links between different sets which were found, all components alike."""
+    each = found.groupBy("component").agg(F.sum("pairs").alias("pairs"), F.sum("missed").alias("missed")).filter("pairs > 0")
+    n, like = each.agg(F.count("*"), F.sum(1 + F.col("missed") / F.col("pairs"))).head()
+    return n / like if n else 1.0
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class and number of links of each text among all texts.
 
     Returns ``id_col``, class_id (the least id of the class: texts joined by links, directly or
     through others) and n_links (how many other texts, copies included, have a Jaccard
     similarity of at least 0.8).  One row per input row.  Texts of fewer than five words
-    have one shingle; texts without words, nulls among them, are copies of each other.
+    have one shingle; texts without words, nulls among them, are copies of each other; very
+    long texts are compared by all their shingles.
     Repeated rows are copies.  Null ids name a class only if it has no other.  An empty table
     gives an empty table; other columns are not read.
     """
     signed = durable(_signatures(docs, id_col, text_col))
     sets = durable(signed.groupBy("sid").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("label").alias("label")))
     done, shapes = None, None
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+    for depth in range(DEPTH, 0, -1):
         parts = durable(components(_candidates(sets, depth)).withColumnRenamed("node", "sid"))
         shape = durable(parts.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("h")))
-        fresh = parts if shapes is None else parts.join(shape.join(shapes, ["component", "m", "h"], "left_anti"), "component", "left_semi")
-        grouped = durable(_groups(fresh.join(sets.select("sid", "key", "copies", "n"), "sid")))
-        wanted = grouped.select("sid", "key").distinct()
-        texts = _with_shingles(docs, wanted, id_col, text_col).select("sid", "shingles")
-        rows = grouped.join(texts, "sid").select("group", "side", "component", "sid", "copies", "shingles")
+        same = None if shapes is None else shape.join(shapes, ["component", "m", "h"], "left_semi")
+        new = parts if same is None else parts.join(same, "component", "left_anti")
+        grouped = durable(_groups(new.join(sets.select("sid", "key", "copies", "n"), "sid")))
+        texts = _with_shingles(docs, grouped.select("sid", "key").distinct(), id_col, text_col)
+        rows = grouped.join(texts.select("sid", "shingles"), "sid").select("group", "side", "component", "sid", "copies", "shingles")
         found = durable(_verify(rows.repartition(shuffle_width(docs.sparkSession), "group"), depth))
-        if done is not None:
-            found = durable(found.union(done.join(shape.join(shapes, ["component", "m", "h"], "left_semi"), "component", "left_semi").select(found.columns)))
+        discard(texts, grouped)
+        if same is not None:
+            # What was found in components that are as they were holds; it was found at a greater depth.
+            every = durable(found.unionByName(done.join(same, "component", "left_semi")))
+            discard(found, done, shapes)
+            found = every
+        discard(parts)
         done, shapes = found, shape
-        # Copies are links of their own, which no forest misses.
-        links, missed = (x or 0 for x in done.join(sets.select("sid", "copies"), "sid").agg(F.sum(F.col("links") * F.col("copies")), F.sum("missed")).head())
-        worst = 1 - (1 - THRESHOLD**depth) ** TREES
-        if links >= TARGET * (links + missed) and (links or worst >= TARGET):
+        if _recall(done) >= TARGET and (depth == 1 or 1 - (1 - THRESHOLD**depth) ** TREES >= TARGET or not done.isEmpty()):
             break
     links = done.groupBy("sid").agg(F.sum("links").alias("links"))
     merged = components(done.select(F.col("sid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "sid")
@@ -278,22 +302,26 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = durable(classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct())
     # Rows whose bit isn't set stay without being shuffled; only the others are joined.
     sent, bit = _bits(gone, id_col), F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)) + 1
+    mark = fresh(docs, "__gone")
 
-    def part(wanted: bool) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                n = batch.num_columns - 1
-                yield batch.select(range(n)).filter(pa.array(_hit(sent.value, batch.column(n).to_numpy()) == wanted))
-
-        return docs.withColumn("__bit", bit.cast("bigint")).mapInArrow(run, docs.schema)
+    def run(batches):
+        import pyarrow as pa
 
-    kept = part(False).unionByName(part(True).join(gone, id_col, "left_anti"))
+        for batch in batches:
+            n = batch.num_columns - 1
+            hit = pa.array(_hit(sent.value, batch.column(n).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], hit], names=batch.schema.names[:n] + [mark])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
+    marked = durable(docs.withColumn(mark, bit.cast("bigint")).mapInArrow(lean(run), schema))
+    sent.destroy()
+    part = lambda hit: marked.filter(F.col(mark) if hit else ~F.col(mark)).drop(mark)
+    kept = part(False).unionByName(part(True).join(gone, id_col, "left_anti").select(docs.columns))
     ids = classes.filter(F.col(id_col).isNotNull()).select(id_col)
     if ids.count() > ids.distinct().count():
-        numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-        kept = numbered.filter(F.col(id_col).isNull() | (F.col("__n") == 1)).drop("__n")
+        number = fresh(docs, "__n")
+        numbered = kept.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
+        kept = numbered.filter(F.col(id_col).isNull() | (F.col(number) == 1)).drop(number)
     return kept.select(docs.columns)
 
 
