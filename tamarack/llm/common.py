@@ -117,6 +117,19 @@ def lean(fn: Callable, keeps: bool = False) -> Callable:
     return run
 
 
+#: Bytes of an Arrow batch to a worker, unless the session names its own: a batch is held several
+#: times over, by the executor and by its worker.
+BATCH_BYTES = "8m"
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataFrame:
+    """mapInArrow by lean workers, in batches of bounded size."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(conf, None) in (None, "67108864b", "64MB"):
+        df.sparkSession.conf.set(conf, BATCH_BYTES)
+    return df.mapInArrow(lean(fn, keeps), schema)
+
+
 def release() -> None:
     """Returns freed memory to the system."""
     pa.default_memory_pool().release_unused()
@@ -147,10 +160,10 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
                 for part in fn(*[c.to_pylist() for c in batch.slice(a, b - a).columns]):
                     yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(lean(run, keeps=True), schema)
+    return map_arrow(df, run, schema, keeps=True)
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes of text and binary together (one row may be larger)."""
     size = np.full(batch.num_rows, 16, np.int64)
     for column in batch.columns:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import discard, durable, fresh, lean, pieces, read, shuffle_width
+from .common import discard, durable, fresh, map_arrow, pieces, read, shuffle_width
 from .graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -78,7 +78,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["key", "sid", "n", "label"])
 
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(run), f"key {dict(rows.dtypes)['key']}, sid binary, n bigint, label binary")
+    return map_arrow(rows, run, f"key {dict(rows.dtypes)['key']}, sid binary, n bigint, label binary")
 
 
 def _candidates(sets: DataFrame, depth: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
 
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("key", bit.alias("bit"), "text")
-    found = rows.mapInArrow(lean(run), f"k {dict(rows.dtypes)['key']}, sid binary, shingles binary")
+    found = map_arrow(rows, run, f"k {dict(rows.dtypes)['key']}, sid binary, shingles binary")
     out = durable(wanted.join(found, "sid").filter(F.col("key").eqNullSafe(F.col("k"))).drop("k").dropDuplicates(["sid"]))
     sent.destroy()
     return out
@@ -208,7 +208,7 @@ def _verify(rows: DataFrame, depth: int) -> DataFrame:
         if held:
             yield close(held)
 
-    return rows.sortWithinPartitions("group", "sid").mapInArrow(lean(run), fields)
+    return map_arrow(rows.sortWithinPartitions("group", "sid"), run, fields)
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], hit], names=batch.schema.names[:n] + [mark])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
-    marked = durable(docs.withColumn(mark, bit.cast("bigint")).mapInArrow(lean(run), schema))
+    marked = durable(map_arrow(docs.withColumn(mark, bit.cast("bigint")), run, schema))
     sent.destroy()
     part = lambda hit: marked.filter(F.col(mark) if hit else ~F.col(mark)).drop(mark)
     kept = part(False).unionByName(part(True).join(gone, id_col, "left_anti").select(docs.columns))

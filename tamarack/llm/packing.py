@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .bpe import WORD_BPE
-from .common import durable, map_batches, read, shuffle_width, tokenizer_path
+from .common import durable, map_arrow, map_batches, read, shuffle_width, tokenizer_path
 from .rank_bpe import load
 
 CAPACITY = 2048
@@ -181,7 +181,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
             )
 
     kind = dict(pieces.dtypes)[id_col]
-    return ranked.mapInArrow(place, f"{id_col} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return map_arrow(ranked, place, f"{id_col} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = WORD_BPE, capacity: int = CAPACITY) -> DataFrame:

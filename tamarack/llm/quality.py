@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import discard, durable, fresh, lean, pieces, read
+from .common import discard, durable, fresh, map_arrow, pieces, read
 
 ORDER, FOLDS = 5, 2
 #: N-grams and contexts of one slice of the model: 12 bytes each at every worker.
@@ -56,7 +56,7 @@ GAP = 32
 #: Bytes of text which a task works on at once (more where one text has more).
 PIECE = 1 << 20
 #: N-grams which a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -109,6 +109,7 @@ class Windows:
         start = tv.spans(first, self.size)
         own = tv.mix64(hashes(self.symbols, ORDER)[start] + np.repeat(salts(self.groups, ORDER)[of], self.size))
         self.hash, at, self.back, self.times = tv.distinct(own)
+        del own
         self.group = np.repeat(of, self.size)[at]
         self.rows = np.lib.stride_tricks.sliding_window_view(self.symbols, ORDER)[start[at]]
 
@@ -221,16 +222,17 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 groups = _group_names(part.column(0), part.column(1))
                 found = Windows([texts[i] for i in taken], [groups[i] for i in taken])
                 number = np.array([names.setdefault(g, len(names)) for g in found.groups])
-                parts.append((found.hash, number[found.group], found.rows, found.times))
+                parts.append((found.hash, number[found.group].astype(np.int32), found.rows, found.times))
+                del found
                 if sum(len(p[0]) for p in parts) > HELD:
                     parts[:] = [merged()]
-                    if len(parts[0][0]) > HELD // 2:
+                    if 4 * len(parts[0][0]) > 3 * HELD:
                         yield from emitted(*parts.pop())
         if parts:
             yield from emitted(*merged())
 
     rows = docs.select(_fold(text_col).alias("model"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = rows.mapInArrow(lean(run), "model int, lang string, gram string, n bigint")
+    counts = map_arrow(rows, run, "model int, lang string, gram string, n bigint")
     if FOLDS > 1:
         others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda m: m != F.col("model"))
         counts = counts.withColumn("model", F.explode(others))
@@ -368,7 +370,7 @@ def arrays(model: DataFrame, slices: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["slice", "kind", "hashes", "numbers"])
 
-    return model.select("model", "lang", "gram", "logp", "logb").mapInArrow(lean(run), "slice int, kind int, hashes binary, numbers binary")
+    return map_arrow(model.select("model", "lang", "gram", "logp", "logb"), run, "slice int, kind int, hashes binary, numbers binary")
 
 
 def load_slice(packed: DataFrame, number: int, slices: int) -> Arrays:
@@ -412,7 +414,7 @@ def score(docs: DataFrame, model: DataFrame, name: str, text_col: str, lang_col:
 
         rows = rows.select(*keep, _fold(text_col).alias(fold), F.coalesce(F.col(lang_col), F.lit("")).alias(lang), F.coalesce(F.col(text_col), F.lit("")).alias(text))
         schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(name, stats)])
-        return durable(rows.mapInArrow(lean(run), schema)), sent
+        return durable(map_arrow(rows, run, schema)), sent
 
     if slices == 1:
         out, sent = summed(docs, 0, keep)

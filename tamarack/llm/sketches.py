@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import read, shuffle_width
+from .common import map_arrow, read, shuffle_width
 
 #: One of so many hashes is kept.
 SCALE = 8
@@ -146,7 +146,7 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
         if len(texts) > 1:
             yield flush(keys, texts, key_type)
 
-    return rows.mapInArrow(run, f"key {kind}, {fields}").withColumnRenamed("key", id_col)
+    return map_arrow(rows, run, f"key {kind}, {fields}").withColumnRenamed("key", id_col)
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import durable, read
+from .common import durable, map_arrow, read
 
 #: A class is valid if it has so many tokens and stands on this share of a host's pages, and two at least.
 LEAST_TOKENS, LEAST_SHARE = 2, 0.5
@@ -220,7 +220,7 @@ def deduce(pages: DataFrame) -> DataFrame:
         if held:
             yield rows()
 
-    sums = pages.select("host", "number", "html").mapInArrow(run, "host string, place bigint, vector bigint, pages bigint, least bigint, most bigint")
+    sums = map_arrow(pages.select("host", "number", "html"), run, "host string, place bigint, vector bigint, pages bigint, least bigint, most bigint")
     sums = sums.groupBy("host", "place").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"))
     whole = sums.filter("place = 0").select("host", F.col("pages").alias("all"), (F.col("least") < F.col("most")).alias("varies"))
     tokens = sums.filter("place <> 0")
@@ -276,7 +276,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 texts.append(main_text(page, places))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "link", "text"])
 
-    done = rows.mapInArrow(run, f"key {kind}, link string, text string")
+    done = map_arrow(rows, run, f"key {kind}, link string, text string")
     return done.select(F.col("key").alias(id_col), F.col("link").alias(url_col), "text")
 
 

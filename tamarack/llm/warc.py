@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import map_arrow, read, shared_dir
 
 #: Fixed values of the formats: frame magic numbers and record types.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -204,7 +204,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Non
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     rows = with_revisits(pages, least).select(F.col("page_id").cast("bigint"), "url", "payload", "refers_to")
-    made = rows.mapInArrow(run, "frame binary")
+    made = map_arrow(rows, run, "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(path)
 
 
@@ -229,7 +229,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield make(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, schema)
 
 
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
