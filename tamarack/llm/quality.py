@@ -21,6 +21,7 @@ language, which comes from the quartiles of the model's texts.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -54,7 +55,7 @@ PROSE_PERCENT, CAPITAL_PERCENT = 92, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GAP = 32
 #: Bytes of text which a task works on at once (more where one text has more).
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: N-grams which a task holds before it passes them on.
 HELD = 1_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -105,13 +106,24 @@ class Windows:
         self.groups = list(dict.fromkeys(groups))
         number = {g: i for i, g in enumerate(self.groups)}
         of = np.array([number[g] for g in groups], np.int64)
-        self.symbols, first, self.size = symbols(texts)
-        start = tv.spans(first, self.size)
-        own = tv.mix64(hashes(self.symbols, ORDER)[start] + np.repeat(salts(self.groups, ORDER)[of], self.size))
-        self.hash, at, self.back, self.times = tv.distinct(own)
-        del own
-        self.group = np.repeat(of, self.size)[at]
-        self.rows = np.lib.stride_tricks.sliding_window_view(self.symbols, ORDER)[start[at]]
+        self.symbols, begin, self.size = symbols(texts)
+        inside = np.ones(len(self.symbols) - ORDER + 1, bool)
+        inside[((begin + self.size)[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
+        own = hashes(self.symbols, ORDER)[inside]
+        own += np.repeat(salts(self.groups, ORDER)[of], self.size)
+        own = tv.mix64(own)
+        self.place, first = tv.grouped(own)
+        self.times, at = tv.times(first, len(own)), self.place[first]
+        self.hash = own[at]
+        self.group = of[np.searchsorted(np.cumsum(self.size), at, "right")]
+        self.rows = np.lib.stride_tricks.sliding_window_view(self.symbols, ORDER)[np.flatnonzero(inside)[at]]
+
+
+@functools.cache
+def _symbol_table() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in SYMBOLS]] = True
+    return table
 
 
 def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
@@ -120,15 +132,15 @@ def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
     cp, start, end, word_at = tv.word_spans(texts)
     text_at = np.zeros(n + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=text_at[1:])
-    total = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
     prefix = tv.prefix_hash(tv.char_values()[cp])
     owner = np.repeat(np.arange(n), np.diff(word_at))
     # Windows of three words, told apart by text.
     words = tv.mix64(tv.span_hash(prefix, start, end) + (end - start).astype(np.uint64))
     here = np.flatnonzero(owner[2:] == owner[:-2]) if len(words) > 2 else np.zeros(0, np.int64)
     window = tv.mix64(tv.span_hash(tv.prefix_hash(words), here, here + 3)) + tv.mix64(owner[here] + 1)
-    _, _, back, times = tv.distinct(window)
-    found = here[times[back] > 1]
+    place, first = tv.grouped(window)
+    often = tv.times(first, len(window))
+    found = here[place[np.repeat(often > 1, often)]]
     covered = np.zeros(len(words), bool)
     for i in range(3):
         covered[found + i] = True
@@ -145,10 +157,10 @@ def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
     _, first = np.unique(lines, return_index=True)
     return {
         "n_words": np.diff(word_at),
-        "word_chars": total(end - start, word_at),
-        "n_symbols": total(np.isin(cp, [ord(c) for c in SYMBOLS]), text_at),
+        "word_chars": tv.sums(end - start, word_at),
+        "n_symbols": tv.sums(_symbol_table()[cp], text_at),
         "n_dup_lines": np.bincount(o, minlength=n) - np.bincount(o[first], minlength=n),
-        "n_repeat_words": total(covered, word_at),
+        "n_repeat_words": tv.sums(covered, word_at),
     }
 
 
@@ -162,13 +174,17 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
 
 
+@functools.cache
+def _capital_table() -> np.ndarray:
+    return tv.lower_table() != np.arange(0x110000)
+
+
 def prose(texts: list[str]) -> np.ndarray:
     """Whether each text is nearly all letters and digits, and mostly small ones."""
     cp = tv.to_codepoints(" ".join(texts) + " ")
     kind, at = tv.class_table()[cp], np.cumsum([0, *[len(t) + 1 for t in texts]])
-    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
     wordlike = (kind == tv.LETTER) | (kind == tv.NUMBER)
-    visible, letters, capitals = count(kind != tv.SPACE), count(wordlike), count(tv.lower_table()[cp] != cp)
+    visible, letters, capitals = (tv.sums(x, at) for x in (kind != tv.SPACE, wordlike, _capital_table()[cp]))
     return (100 * letters >= PROSE_PERCENT * visible) & (100 * capitals <= CAPITAL_PERCENT * letters)
 
 
@@ -195,8 +211,9 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         def merged():
             key, group, rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at, back, _ = tv.distinct(key)
-            return key[at], group[at], rows[at], np.bincount(back, n).astype(np.int64)
+            place, first = tv.grouped(key)
+            at = place[first]
+            return key[at], group[at], rows[at], np.add.reduceat(n[place], first)
 
         def emitted(key, group, rows, n):
             every = list(names)
@@ -213,7 +230,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 yield pa.RecordBatch.from_arrays(columns, names=["model", "lang", "gram", "n"])
 
         for batch in batches:
-            for a, b in pieces(batch, PIECE):
+            for a, b in pieces(batch, 2 * PIECE):
                 part = batch.slice(a, b - a)
                 texts = part.column(2).to_pylist()
                 taken = np.flatnonzero(~base_failed(base_counts(texts)) & prose(texts))
@@ -233,7 +250,9 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     rows = docs.select(_fold(text_col).alias("model"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = map_arrow(rows, run, "model int, lang string, gram string, n bigint")
-    if FOLDS > 1:
+    if FOLDS == 2:
+        counts = counts.withColumn("model", 1 - F.col("model"))
+    else:
         others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda m: m != F.col("model"))
         counts = counts.withColumn("model", F.explode(others))
     return counts.groupBy("model", "lang", "gram").agg(F.sum("n").alias("n"))
@@ -248,8 +267,9 @@ def fit(counts: DataFrame) -> DataFrame:
     nothing follows it).  Both are in units.  The empty gram is the even distribution.
     """
     levels = [durable(counts)]
-    for _ in range(ORDER - 1):
-        levels.append(durable(levels[-1].groupBy("model", "lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].groupBy("model", "lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        levels.append(durable(shorter) if k > 3 else shorter)  # the shortest are few and cheaply made again
     grams = levels[0]
     for level in levels[1:]:
         grams = grams.unionByName(level)
@@ -266,11 +286,12 @@ def fit(counts: DataFrame) -> DataFrame:
     total = durable(grams.groupBy("model", "lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left")))
     own = durable(grams.join(total, ["model", "lang", "context"]).select("model", "lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "left"))
     of = lambda k: own.filter(F.col("k") == k)
-    probs = [durable(of(1).select("model", "lang", "gram", (F.col("own") + F.col("left") / 0x110000).alias("p")))]
+    probs = [of(1).select("model", "lang", "gram", (F.col("own") + F.col("left") / 0x110000).alias("p"))]
     for k in range(2, ORDER + 1):
         shorter = probs[-1].select("model", "lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
         longer = of(k).withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["model", "lang", "suffix"])
-        probs.append(durable(longer.select("model", "lang", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p"))))
+        longer = longer.select("model", "lang", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p"))
+        probs.append(durable(longer) if 3 <= k < ORDER else longer)
     every = probs[0]
     for p in probs[1:]:
         every = every.unionByName(p)
@@ -325,8 +346,10 @@ class Arrays:
         """Sum of the negative log probabilities of each text's symbols, in units, and how many it has."""
         found = Windows(texts, groups)
         value = self.logp(found.rows, found.group, found.groups)
-        total = np.concatenate([[0], np.cumsum(value[found.back])])
-        return -np.diff(total[np.concatenate([[0], np.cumsum(found.size)])]), found.size
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), found.size)[found.place]
+        # Whole numbers far below 2**53, so that doubles add them up exactly.
+        total = np.bincount(owner, np.repeat(value, found.times), len(texts))
+        return -total.astype(np.int64), found.size
 
 
 def which(two: np.ndarray, slices: int) -> np.ndarray:

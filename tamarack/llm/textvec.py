@@ -51,25 +51,41 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, one place of each, each key's row among them, and their times: a faster np.unique.
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the keys' order, and where in it each distinct key begins.
 
-    Well mixed keys are sorted by their upper bits, with their places in the lower ones.
-    Should two different keys share all upper bits, np.unique does the work.
+    Well mixed keys are sorted by their upper bits, with their places in the lower ones,
+    which is much faster than sorting places.  Should two different keys share all upper
+    bits, places are sorted after all.
     """
     n = len(keys)
     low = np.uint64((1 << max(1, n.bit_length())) - 1)
-    packed = np.sort(keys & ~low | np.arange(n, dtype=np.uint64))
+    packed = keys & ~low
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
     place = (packed & low).astype(np.int64)
     ordered = keys[place]
     new = np.ones(n, bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    if np.any(new[1:] & ((packed[1:] ^ packed[:-1]) <= low)):
-        return np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    back = np.empty(n, np.int64)
-    back[place] = np.cumsum(new) - 1
-    return ordered[first], place[first], back, np.diff(np.append(first, n))
+    between = first[1:]
+    if np.any((packed[between] ^ packed[between - 1]) <= low):
+        place = np.argsort(keys, kind="stable")
+        ordered = keys[place]
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+    return place, first
+
+
+def times(first: np.ndarray, n: int) -> np.ndarray:
+    """How many of the ``n`` places each distinct key of ``grouped`` has."""
+    return np.diff(np.append(first, n))
+
+
+def sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of each run of numbers from one place to the next; the last one's end is the last place."""
+    out = np.add.reduceat(x, np.minimum(at[:-1], max(0, len(x) - 1)), dtype=np.int64) if len(x) and len(at) > 1 else np.zeros(len(at) - 1, np.int64)
+    return np.where(np.diff(at) > 0, out, 0)
 
 
 def to_codepoints(text: str) -> np.ndarray:
