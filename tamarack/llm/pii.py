@@ -6,6 +6,12 @@ candidate or abstain.  Expectation-maximisation estimates how reliable each labe
 each kind, and a logistic classifier of spans is trained on the resulting probabilities.
 Base spans always stay; other candidates are added where the classifier says so.
 
+The estimate is anchored, so that a kind can't fall into one class where there is little to
+learn from: base spans are personal data, matches which fail the checks of their kind and
+have no vote for them are not, and only the others are to be found out.  Labelers start from
+a prior (what votes for is right more often than not), kinds share what they know of a
+labeler, and the classifier gives the same weight to both anchors and to what is found out.
+
 Both models are fitted on counts of vote and feature patterns over all texts, at most
 ``4 * 3**5 * 2**3`` rows whatever the corpus; only they reach the driver, and the fitted
 weights go back into the plan as constants.
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +55,11 @@ WORDS_FOR = {
 }
 WORDS_AGAINST = "version|v\\.|isbn|issn|doi|section|figure|chapter|build|release|order|invoice|sha|hash|token|key|serial"
 LABELERS = 5
+#: Chances of a labeler to abstain, vote for and vote against, on what isn't personal data and on what is,
+#: before any text is seen; and the counts which these and the labeler's chances over all kinds are worth.
+PRIOR, SHARED = ((0.6, 0.1, 0.3), (0.6, 0.3, 0.1)), 20.0
+#: The weight of the classifier's least squares.
+RIDGE = 1e-3
 FEATURES = ("has separators", "is long", "is of a looser form")
 
 
@@ -139,47 +151,82 @@ def _features(s: Column) -> Column:
     return out.cast("int")
 
 
-def candidates(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds __spans: kind, start, end, base, votes and features of each candidate, by kind and place."""
+def _prefix(df: DataFrame) -> str:
+    """What no column's name begins with, in any case."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
+def candidates(df: DataFrame, text_col: str, prefix: str = "__") -> DataFrame:
+    """Adds <prefix>spans: kind, start, end, base, votes and features of each candidate, by kind and place."""
     for name in PATTERNS:
-        df = df.withColumn(f"__{name}", _located(text_col, name))
+        df = df.withColumn(f"{prefix}{name}", _located(text_col, name))
     shape = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _is_base(s).alias("base"), s["loose"].alias("loose"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after"))
-    strict = F.concat(*[F.col(f"__{n}") for n, p in PATTERNS.items() if p[2]])
+    strict = F.concat(*[F.col(f"{prefix}{n}") for n, p in PATTERNS.items() if p[2]])
     # Digit runs too short for any card aren't candidates.
     strict = F.filter(strict, lambda s: (s["kind"] != 2) | (F.length(_digits(s["text"])) >= 13))
-    df = df.withColumn("__strict", F.transform(strict, shape))
-    loose = F.concat(*[F.col(f"__{n}") for n, p in PATTERNS.items() if not p[2]])
-    apart = lambda s: ~F.exists("__strict", lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    df = df.withColumn("__all", F.concat("__strict", F.transform(F.filter(loose, apart), shape)))
+    df = df.withColumn(f"{prefix}strict", F.transform(strict, shape))
+    loose = F.concat(*[F.col(f"{prefix}{n}") for n, p in PATTERNS.items() if not p[2]])
+    apart = lambda s: ~F.exists(f"{prefix}strict", lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    df = df.withColumn(f"{prefix}all", F.concat(f"{prefix}strict", F.transform(F.filter(loose, apart), shape)))
     judged = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), _votes(s, s["base"]).alias("votes"), _features(s).alias("features"))
-    df = df.withColumn("__spans", F.array_sort(F.transform("__all", judged)))
-    return df.drop("__strict", "__all", *[f"__{n}" for n in PATTERNS])
+    df = df.withColumn(f"{prefix}spans", F.array_sort(F.transform(f"{prefix}all", judged)))
+    return df.drop(f"{prefix}strict", f"{prefix}all", *[f"{prefix}{n}" for n in PATTERNS])
 
 
 def unpack(votes: int) -> list[int]:
     return [votes // 3**i % 3 for i in reversed(range(LABELERS))]
 
 
-def estimate(rows: list[tuple[int, int, float]], rounds: int = 60) -> dict[tuple[int, int], float]:
+def anchor(votes: int) -> float | None:
+    """1 for a base span, 0 for one which fails its checks with no vote for it, else None: to be found out."""
+    shape, *others = unpack(votes)
+    return 1.0 if shape == 1 else 0.0 if shape == 2 and 1 not in others else None
+
+
+def estimate(rows: list[tuple[int, int, float]], rounds: int = 100) -> dict[tuple[int, int], float]:
     """Probability of being personal data for each (kind, votes) of rows(kind, votes, count).
 
     Each labeler has, for each kind, its chances of each vote on spans that are and aren't
-    personal data.  They start from the majority of votes, and are smoothed.
+    personal data.  They are drawn towards its chances over all kinds, by ``SHARED`` counts,
+    and those towards ``PRIOR``, by as many.  Anchored spans keep their class.  A kind without
+    any other candidates, or without any at all, needs no estimate of its own.
     """
-    out = {(k, v): 1 / (1 + math.exp(-2.0 * (unpack(v).count(1) - unpack(v).count(2)))) for k, v, _ in rows}
-    for kind in range(len(KINDS)):
-        own = [(v, n) for k, v, n in rows if k == kind]
-        for _ in range(rounds if own else 0):
-            share = [1.0, 1.0]
-            tables = [[[1.0] * 3 for _ in range(LABELERS)] for _ in range(2)]
-            for v, n in own:
-                for truth, p in enumerate((1 - out[kind, v], out[kind, v])):
-                    share[truth] += n * p
-                    for i, vote in enumerate(unpack(v)):
-                        tables[truth][i][vote] += n * p
-            for v, _ in own:
-                score = [math.log(share[t]) + sum(math.log(tables[t][i][x] / sum(tables[t][i])) for i, x in enumerate(unpack(v))) for t in (0, 1)]
-                out[kind, v] = 1 / (1 + math.exp(max(-60.0, min(60.0, score[0] - score[1]))))
+    out = {(k, v): anchor(v) if anchor(v) is not None else 1 / (1 + math.exp(-2.0 * (unpack(v).count(1) - unpack(v).count(2)))) for k, v, _ in rows}
+    for _ in range(rounds):
+        counts = [[[[0.0] * 3 for _ in range(LABELERS)] for _ in range(2)] for _ in KINDS]
+        share = [[1.0, 1.0] for _ in KINDS]
+        for k, v, n in rows:
+            for truth, p in enumerate((1 - out[k, v], out[k, v])):
+                share[k][truth] += n * p if anchor(v) is None else 0.0  # how many are anchored says nothing of the others
+                for i, vote in enumerate(unpack(v)):
+                    counts[k][truth][i][vote] += n * p
+        chances = [[[[0.0] * 3 for _ in range(LABELERS)] for _ in range(2)] for _ in KINDS]
+        for truth in (0, 1):
+            for i in range(LABELERS):
+                # A kind counts by shares, so that the most frequent one doesn't speak for all.
+                size = [sum(counts[k][truth][i]) for k in range(len(KINDS))]
+                # Both classes are believed by as many spans as the smaller one has: else a vote never
+                # seen would speak against the class of which more has been seen.  Few are believed
+                # less still, or the spans to be found out would bear themselves out.
+                few = [min(sum(counts[k][t][i]) for t in (0, 1)) for k in range(len(KINDS))]
+                worth = [x * x / (x + SHARED) for x in few]
+                pooled = [SHARED * PRIOR[truth][x] + sum(worth[k] * counts[k][truth][i][x] / size[k] for k in range(len(KINDS)) if size[k]) for x in range(3)]
+                for k in range(len(KINDS)):
+                    for x in range(3):
+                        own = counts[k][truth][i][x] / size[k] if size[k] else 0.0
+                        chances[k][truth][i][x] = (worth[k] * own + SHARED * pooled[x] / sum(pooled)) / (worth[k] + SHARED)
+        moved = 0.0
+        for k, v, _ in rows:
+            if anchor(v) is None:
+                # The shape labeler is what anchors the others, so it has no say on the rest; and who abstains says nothing.
+                score = [math.log(share[k][t] / sum(share[k])) + sum(math.log(chances[k][t][i][x]) for i, x in enumerate(unpack(v)) if i and x) for t in (0, 1)]
+                p = 1 / (1 + math.exp(max(-60.0, min(60.0, score[0] - score[1]))))
+                moved, out[k, v] = max(moved, abs(p - out[k, v])), p
+        if moved < 1e-9:
+            break
     return out
 
 
@@ -194,33 +241,44 @@ def inputs(kind: int, votes: int, features: int) -> list[float]:
     ]
 
 
-def train(rows: list[tuple[int, int, int, float]], rounds: int = 400) -> list[float]:
-    """Weights of a logistic classifier of spans, on rows(kind, votes, features, count)."""
+def train(rows: list[tuple[int, int, int, float]], rounds: int = 30) -> list[float]:
+    """Weights of a logistic classifier of spans, on rows(kind, votes, features, count).
+
+    Of each kind, the spans anchored on either side and those found out weigh the same, however
+    many they are.  Newton's method; the least squares of the weights keep it finite.
+    """
     totals: dict[tuple[int, int], float] = {}
     for k, v, _, n in rows:
         totals[k, v] = totals.get((k, v), 0) + n
     truth = estimate([(k, v, n) for (k, v), n in totals.items()])
     size = len(inputs(0, 0, 0))
-    weights, everything = [0.0] * size, sum(n for *_, n in rows)
-    data = [(inputs(k, v, f), truth[k, v], n / everything) for k, v, f, n in rows]
-    weights[0] = -2.0
+    if not rows:
+        return [-1.0] + [0.0] * (size - 1)
+    sides: dict[tuple[int, float | None], float] = {}
+    for k, v, _, n in rows:
+        sides[k, anchor(v)] = sides.get((k, anchor(v)), 0.0) + n
+    x = np.array([inputs(k, v, f) for k, v, f, _ in rows])
+    # A row stands on both sides, by its probability.
+    weight = np.array([[n * p / sides[k, anchor(v)] for p in (1 - truth[k, v], truth[k, v])] for k, v, _, n in rows])
+    w = np.zeros(size)
     for _ in range(rounds):
-        step = [1e-4 * w for w in weights]
-        for x, y, n in data:
-            p = 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(map(float.__mul__, weights, x))))))
-            for i, xi in enumerate(x):
-                step[i] += n * (p - y) * xi
-        weights = [w - 2.0 * s for w, s in zip(weights, step, strict=True)]
-    return weights
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        slope = x.T @ (weight.sum(1) * p - weight[:, 1]) + RIDGE * w
+        curve = (x * (weight.sum(1) * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(size)
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if abs(step).max() < 1e-9:
+            break
+    return [float(a) for a in w]
 
 
-def fit(found: DataFrame) -> list[float]:
+def fit(found: DataFrame, spans: str = "__spans") -> list[float]:
     """Weights by the candidates of all texts; their patterns are counted by Spark."""
-    counts = found.select(F.explode("__spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count("*").alias("n")).collect()
+    counts = found.select(F.explode(spans).alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count("*").alias("n")).collect()
     return train(sorted((r["kind"], r["votes"], r["features"], float(r["n"])) for r in counts))
 
 
-def accepted(weights: list[float]) -> Column:
+def accepted(weights: list[float], spans: str = "__spans") -> Column:
     """The spans to report: base ones, and those which the classifier takes."""
     def classified(s: Column) -> Column:
         x, total = s["votes"], F.lit(weights[0])
@@ -236,7 +294,9 @@ def accepted(weights: list[float]) -> Column:
             at += 1
         return total > 0
 
-    return F.filter("__spans", lambda s: s["base"] | classified(s))
+    # What is anchored as no personal data stays so, whatever the weights of others say.
+    anchored = [v for v in range(3**LABELERS) if anchor(v) == 0.0]
+    return F.filter(spans, lambda s: s["base"] | (~s["votes"].isin(anchored) & classified(s)))
 
 
 def _listing(spans: Column) -> Column:
@@ -261,25 +321,30 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The table with each span of personal data replaced by its kind in brackets.
 
     Overlapping spans are replaced together under the name of the first.  A null text stays
-    null; all other columns stay as they are.
+    null, an empty one empty; very long texts are searched whole; repeated rows are replaced
+    alike; an empty table stays empty; all other columns stay as they are, whatever they are
+    called.
     """
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    weights = fit(candidates(texts, "__text"))
-    df = candidates(df.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text")
-    spans = F.array_sort(F.transform(accepted(weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    df = df.withColumn("__spans", spans)
+    prefix = _prefix(df)
+    text_of, spans_of = f"{prefix}text", f"{prefix}spans"
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_of))
+    weights = fit(candidates(texts, text_of, prefix), spans_of)
+    columns = df.columns
+    df = candidates(df.withColumn(text_of, F.coalesce(F.col(text_col), F.lit(""))), text_of, prefix)
+    spans = F.array_sort(F.transform(accepted(weights, spans_of), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = df.withColumn(spans_of, spans)
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    text = F.col("__text")
+    text = F.col(text_of)
     cut = lambda a, b: F.substring(text, a + 1, b - a)
     done = F.aggregate(
-        "__spans",
+        spans_of,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], cut(a["at"], s["start"]), F.element_at(names, s["kind"] + 1)).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return df.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size("__spans") == 0), F.col(text_col)).otherwise(done)).drop("__text", "__spans")
+    return df.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size(spans_of) == 0), F.col(text_col)).otherwise(done)).select(columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,4 +357,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(_listing(F.col("base")), 256).alias("base_sha256"),
         _listing(F.col("spans")).alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        (F.size("spans") > 0).alias("has_personal_data"),
     )

@@ -303,23 +303,52 @@ def fit(counts: DataFrame) -> DataFrame:
     return out
 
 
+class Sorted:
+    """A sorted array of hashes with a number beside each.
+
+    Hashes are even, so their upper bits say nearly where one stands: an index by them leaves
+    a few neighbours to compare.
+    """
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(hashes)
+        self.keys, self.numbers = hashes[order], numbers[order]
+
+    @functools.cached_property
+    def index(self) -> np.ndarray:
+        """Where the hashes of each value of the upper bits begin; made by the worker."""
+        bits = max(1, len(self.keys).bit_length())
+        return np.searchsorted(self.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its number or 0."""
+        hit, out = np.zeros(len(ask), bool), np.zeros(len(ask), np.int64)
+        if not len(self.keys):
+            return hit, out
+        upper = (ask >> np.uint64(64 - max(1, len(self.keys).bit_length()))).astype(np.int64)
+        at, end = self.index[upper], self.index[upper + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            here = at[todo]
+            key, want = self.keys[here], ask[todo]
+            same = key == want
+            found = todo[same]
+            hit[found], out[found] = True, self.numbers[here[same]]
+            at[todo] += 1
+            todo = todo[(key < want) & (here + 1 < end[todo])]
+        return hit, out
+
+    def __getstate__(self):
+        return {"keys": self.keys, "numbers": self.numbers}
+
+
 class Arrays:
     """One slice of the model: sorted hashes of n-grams and of contexts, each with its numbers."""
 
     def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], number: int = 0, slices: int = 1):
-        self.grams, self.contexts = ((h[o := np.argsort(h)], v[o]) for h, v in (grams, contexts))
+        self.grams, self.contexts = Sorted(*grams), Sorted(*contexts)
         self.number, self.slices = number, slices
 
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray], ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is in the table, and its number or 0."""
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(ask), bool), np.zeros(len(ask), np.int64)
-        at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-        hit = keys[at] == ask
-        return hit, np.where(hit, values[at], 0).astype(np.int64)
-
     def logp(self, rows: np.ndarray, group: np.ndarray, groups: list[tuple[int, str]]) -> np.ndarray:
         """Log probability, in units, of the last symbol of each row of symbols, backing off where it is unknown.
 
@@ -330,7 +359,7 @@ class Arrays:
         for k in range(ORDER, -1, -1):
             part, of = rows[ask], group[ask]
             own = tv.mix64(hashes(part[:, ORDER - k :], k)[:, 0] + salts(groups, k)[of])
-            hit, value = self.find(self.grams, own)
+            hit, value = self.grams.find(own)
             out[ask] += value
             ask, part, of = ask[~hit], part[~hit], of[~hit]
             if not len(ask):
@@ -339,7 +368,7 @@ class Arrays:
                 out[ask] += EVEN
                 break
             context = tv.mix64(hashes(part[:, ORDER - k : -1], k - 1)[:, 0] + salts(groups, k - 1)[of])
-            out[ask] += self.find(self.contexts, context)[1]
+            out[ask] += self.contexts.find(context)[1]
         return out
 
     def sums(self, texts: list[str], groups: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:

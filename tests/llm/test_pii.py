@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tamarack.llm import pii
@@ -79,3 +81,73 @@ def test_empty_table(make):
 def test_no_python_in_the_plan(spark, make):
     plan = pii.find_personal_data(make(TEXTS[:3]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+PLANTED = {
+    -1: ("write to john (at) example (dot) com today", [("email", 9, 36)]),
+    -2: ("please call tel 415-555-2671 now", [("phone", 16, 28)]),
+    -3: ("the ip address 2001:0db8:85a3:0000:0000:8a2e:0370:7334 logged in", [("ip", 15, 54)]),
+    -4: ("order 9870157079875996 was sent", []),
+    -5: ("invoice number 1234 5678 9012 3456 is open", []),
+    -6: ("build version 415-555-2671 token", []),
+}
+
+
+def test_verdicts_hold_at_any_size(spark, sf_dirs):
+    """What is accepted and refused doesn't turn over with the size of the table."""
+    planted = spark.createDataFrame([(i, t) for i, (t, _) in PLANTED.items()], "doc_id bigint, text string")
+    for folder in sf_dirs:
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(planted)
+        found = pii.find_personal_data(docs).join(docs, "doc_id")
+        rows = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in found.filter("doc_id < 0").collect()}
+        assert rows == {i: want for i, (_, want) in PLANTED.items()}, folder
+        cards = found.select("text", F.explode("spans").alias("s")).filter("s.kind = 2").collect()
+        assert cards and all(luhn(re.sub("[^0-9]", "", r["text"][r["s"]["start"] : r["s"]["end"]])) for r in cards)
+
+
+def test_estimate_against_brute_force():
+    """The same estimate, span by span and in matrices, from many random votes."""
+    rng = np.random.default_rng(3)
+    spans = [(int(rng.integers(0, 3)), int(v)) for v in rng.integers(0, 3**pii.LABELERS, 900)]
+    counts = {}
+    for s in spans:
+        counts[s] = counts.get(s, 0) + 1.0
+    got = pii.estimate([(k, v, n) for (k, v), n in counts.items()], rounds=25)
+    kind, vote = np.array([k for k, _ in spans]), np.array([pii.unpack(v) for _, v in spans])
+    fixed = np.array([np.nan if (a := pii.anchor(v)) is None else a for _, v in spans])
+    p = np.where(np.isnan(fixed), 1 / (1 + np.exp(-2.0 * ((vote == 1).sum(1) - (vote == 2).sum(1)))), fixed)
+    hot, of = np.eye(3)[vote], np.eye(len(pii.KINDS))[kind]
+    for _ in range(25):
+        both = np.stack([1 - p, p])
+        c = np.einsum("ts,sk,slv->ktlv", both, of, hot)
+        size = c.sum(-1, keepdims=True)
+        worth = size.min(1, keepdims=True)
+        worth = worth**2 / (worth + pii.SHARED)
+        pooled = pii.SHARED * np.array(pii.PRIOR)[:, None, :] + (worth * c / np.maximum(size, 1e-300)).sum(0)
+        chance = (worth * c / np.maximum(size, 1e-300) + pii.SHARED * (pooled / pooled.sum(-1, keepdims=True))) / (worth + pii.SHARED)
+        share = 1 + np.einsum("ts,sk->kt", both * np.isnan(fixed), of)
+        share /= share.sum(1, keepdims=True)
+        score = np.log(share[kind]) + np.einsum("slv,stlv->st", hot[:, 1:, 1:], np.log(chance[kind])[:, :, 1:, 1:])
+        p = np.where(np.isnan(fixed), 1 / (1 + np.exp(score[:, 0] - score[:, 1])), fixed)
+    for (k, v), q in zip(spans, p, strict=True):
+        assert abs(got[k, v] - q) < 1e-9
+
+
+def test_one_class_only_does_not_collapse():
+    only_for, only_against = [(2, 162, 50.0)], [(2, 2 * 81, 3.0)]
+    assert pii.unpack(162) == [2, 0, 0, 0, 0] and pii.estimate(only_for)[2, 162] == 0.0
+    weights = pii.train([(2, 81, 0, 50.0), (2, 162, 0, 1.0)])
+    score = lambda v: sum(a * b for a, b in zip(weights, pii.inputs(2, v, 0), strict=True))
+    assert score(81) > 0 > score(162)
+    assert pii.train([])[0] < 0
+    assert pii.estimate(only_against) == {(2, 162): 0.0}
+
+
+def test_columns_whose_names_clash(spark, make):
+    docs = make(["call +1 (017) 555-7713 or a@b.cc!", "plain"])
+    for name in ("__text", "__spans", "__email", "__strict", "___all"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert out.filter("__text = 'mine' and __spans = 'mine' and __email = 'mine'").count() == 2
+    assert out.filter("doc_id = 0").head()["text"] == "call [phone] or [email]!"
