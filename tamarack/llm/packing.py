@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -27,8 +28,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     Lengths only matter by their counts, so the plan works on the histogram, which has at
     most ``capacity`` bins whatever the corpus.  First, gaps are filled exactly: the
     complement of each length is looked up among single lengths, then pair sums, then
-    triple sums, as far as their counts go.  What is left goes by best fit: the longest
-    piece opens a sequence and the longest piece that still fits is added.
+    triple sums, as far as their counts go.  What is left goes by best fit.
     """
     left = defaultdict(int, {k: v for k, v in counts.items() if v > 0})
     out: list[Pattern] = []
@@ -89,16 +89,47 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
                         if a not in left or b not in left:
                             break
                         take([a, b, c, d])
-    while left:
-        gap, need = capacity, []
-        for k in sorted(left, reverse=True):
-            if m := min(left[k], gap // k):
-                need.append((k, m))
-                gap -= k * m
-            if not gap:
-                break
-        take([k for k, m in need for _ in range(m)])
-    return out
+    return out + best_fit(left, capacity)
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns by best fit, the longest pieces first: each goes to the fullest open sequence that takes it.
+
+    Sequences with equal gaps are filled together.  A sequence that took a piece is fuller
+    than it was, so it takes the next ones of that length too, as long as they fit.
+    """
+    left = {k: v for k, v in counts.items() if v > 0}
+    gaps: list[int] = []
+    held: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = defaultdict(list)
+
+    def put(gap: int, items: tuple[tuple[int, int], ...], times: int) -> None:
+        if times:
+            if not held[gap]:
+                bisect.insort(gaps, gap)
+            held[gap].append((items, times))
+
+    for k in sorted(left, reverse=True):
+        n = left[k]
+        while n:
+            at = bisect.bisect_left(gaps, k)
+            gap = gaps[at] if at < len(gaps) else capacity
+            each = gap // k
+            if at < len(gaps):
+                items, times = held[gap].pop()
+                if not held[gap]:
+                    gaps.pop(at)
+            else:
+                items, times = (), -(-n // each)
+            full = min(times, n // each)
+            n -= full * each
+            put(gap - each * k, (*items, (k, each)), full)
+            times -= full
+            if times and n:
+                put(gap - n * k, (*items, (k, n)), 1)
+                times, n = times - 1, 0
+            if items:
+                put(gap, items, times)
+    return [(list(items), times) for gap in held for items, times in held[gap]]
 
 
 def slots(patterns: list[Pattern], capacity: int) -> np.ndarray:

@@ -66,3 +66,30 @@ def test_plan_is_near_the_bound():
     counts = {k: rng.randint(1, 300) for k in range(1, 900)}
     total = sum(k * n for k, n in counts.items())
     assert sum(n for _, n in plan(counts, 2048)) <= -(-total // 2048) * 1.01
+
+
+def best_fit_by_piece(counts, capacity):
+    """Piece by piece: the fill of each sequence."""
+    fill = []
+    for k in sorted(counts, reverse=True):
+        for _ in range(counts[k]):
+            best = max((f for f in fill if f + k <= capacity), default=None)
+            if best is None:
+                fill.append(k)
+            else:
+                fill[fill.index(best)] += k
+    return sorted(fill)
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(4)
+    for capacity in (7, 20, 64):
+        for _ in range(60):
+            counts = {rng.randint(1, capacity): rng.randint(1, 9) for _ in range(rng.randint(1, 8))}
+            patterns = packing.best_fit(counts, capacity)
+            used, fill = {}, []
+            for items, times in patterns:
+                for k, m in items:
+                    used[k] = used.get(k, 0) + m * times
+                fill += [sum(k * m for k, m in items)] * times
+            assert used == counts and sorted(fill) == best_fit_by_piece(counts, capacity)
