@@ -58,6 +58,7 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    release()
     _folders[id(out)] = (weakref.ref(out), path)
     return out
 

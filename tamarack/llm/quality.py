@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import discard, durable, fresh, map_arrow, pieces, read
+from .common import discard, durable, fresh, map_arrow, pieces, read, release
 
-ORDER, FOLDS = 5, 2
+ORDER, FOLDS = 4, 2
 #: N-grams and contexts of one slice of the model: 12 bytes each at every worker.
 SLICE = 8_000_000
 #: Log probabilities are whole numbers of such parts of a nat.
@@ -449,6 +449,7 @@ def score(docs: DataFrame, model: DataFrame, name: str, text_col: str, lang_col:
 
     def summed(rows: DataFrame, number: int, keep: list[str]) -> tuple[DataFrame, object]:
         sent = spark.sparkContext.broadcast(load_slice(packed, number, slices))
+        release()
         width = len(keep)
 
         def run(batches):

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tamarack.llm import packing
 from tamarack.llm.packing import pack_documents, plan
 
 
