@@ -4,11 +4,12 @@ A token of a page is a block element in its place: its name, class and the place
 it.  Tokens of one host which occur equally often on each of its pages share an occurrence
 vector and form an equivalence class.  Vectors are never laid out: every page adds (by
 exclusive or) a hash of itself and the token's count, so equal vectors have equal sums, and
-sums from all tasks meet in one small row for a host and token.  Classes found on enough
-pages are valid; their tokens, which nest as their places do, are the template.  Template
-tokens whose own text never changes are template text.  What remains between them are the
-slots, and the article is read from those which no menu, header, footer, sidebar, notice,
-advert, form or comment section holds.
+sums from all tasks meet in one small row for a host and token.  Pages count by their
+content, each once: copies would cancel out, and would make an article look like a template.
+Classes found on enough pages are valid.  A class is nested into the template if all places
+above its tokens are the template's as well; a token's own text is template text if it
+never changes.  What remains between them are the slots, and the article is read from those
+which no menu, header, footer, sidebar, notice, advert, form or comment section holds.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import durable, map_arrow, read
+from .common import durable, map_arrow, pieces, read
 
-#: A class is valid if it has so many tokens and stands on this share of a host's pages, and two at least.
-LEAST_TOKENS, LEAST_SHARE = 2, 0.5
+#: A class is valid if it has so many tokens, or is equally often on every page, and if it stands on this share of a host's different pages, and so many at least.
+LEAST_TOKENS, LEAST_SHARE, LEAST_PAGES = 2, 0.5, 4
 #: Up to so many template places of all hosts they are sent to the workers, 8 bytes each;
 #: beyond that, hosts are joined, and the pages of a host are dealt into so many pieces.
 SENT_PLACES, SALTS = 2_000_000, 16
@@ -89,15 +90,16 @@ def _attributes(raw: str) -> tuple[str, bool, bool, bool]:
     return key, hidden, out, main
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], Counter]:
-    """Blocks (place, text, standing, article) in page order, and how often each place occurs.
+def blocks(page: str, valid: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, int, bool, bool]], Counter]:
+    """Blocks (place, text, standing, article, nested) in page order, and how often each place occurs.
 
-    A place is a hash of the block elements around a text.  Comments, markup, scripts and
+    A place is a hash of the block elements around a text.  A block is nested in the template if
+    its place and all places above it are ``valid``.  Comments, markup, scripts and
     the like are no text; character references are decoded.
     """
-    found: list[tuple[int, str, int, bool]] = []
+    found: list[tuple[int, str, int, bool, bool]] = []
     counts: Counter = Counter()
-    stack: list[tuple[str, int, int, bool]] = [("", 0, IN, False)]
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, IN, False, True)]
     opened: Counter = Counter()
     held: list[str] = []
     at, size = 0, len(page)
@@ -107,8 +109,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], Counter]:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, place, out, main = stack[-1]
-                found.append((place, text, out, main))
+                _, place, out, main, nested = stack[-1]
+                found.append((place, text, out, main, nested))
 
     def close(name: str) -> None:
         if opened[name]:
@@ -158,7 +160,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], Counter]:
                 if opened[other] and stack[-1][0] == other:
                     close(other)
         key, hidden, marked, main = _attributes(raw) if raw else ("", False, False, False)
-        _, above, was_out, was_main = stack[-1]
+        _, above, was_out, was_main, was_nested = stack[-1]
         number = _names.get(name + key)
         if number is None:
             number = _stable(name + key)
@@ -169,7 +171,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], Counter]:
         if name not in VOID and not raw.endswith("/"):
             holds = name in HOLDERS or ((name == "article" or main) and not opened["article"])
             out = OUT if hidden or name in BOILERPLATE else IN if holds or not marked else OUT if was_main else MARKED
-            stack.append((name, place, max(was_out, out), was_main or main or name in MAIN_MARKS))
+            stack.append((name, place, max(was_out, out), was_main or main or name in MAIN_MARKS, was_nested and place in valid))
             opened[name] += 1
     flush()
     return found, counts
@@ -183,10 +185,20 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def contents(pages: DataFrame) -> DataFrame:
+    """host, number, html of each content which a host has, once; only copies' html is shuffled."""
+    rows = pages.select("host", "html", F.xxhash64("html").alias("number"), F.length("html").alias("size"))
+    key = ["host", "number", "size"]
+    copied = durable(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    once = rows.join(copied, key, "left_anti")
+    copies = rows.join(copied, key, "left_semi").groupBy(key).agg(F.min("html").alias("html"))
+    return once.select("host", "number", "html").unionByName(copies.select("host", "number", "html"))
+
+
 def deduce(pages: DataFrame) -> DataFrame:
-    """host, fixed: the template tokens of each host whose text never changes.
+    """host, valid, fixed: the places of each host's valid classes, and those of them whose text never changes.
 
-    ``pages`` has host, number (of the page) and html.
+    ``pages`` has host and html; a host needs ``LEAST_PAGES`` different pages at least.
     """
 
     def run(batches):
@@ -196,8 +208,8 @@ def deduce(pages: DataFrame) -> DataFrame:
 
         def rows():
             keys = list(held)
-            columns = [[k[0] for k in keys], [_signed(k[1]) for k in keys], *[[_signed(held[k][i]) for k in keys] for i in range(4)]]
-            out = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["host", "place", "vector", "pages", "least", "most"])
+            columns = [[k[0] for k in keys], [_signed(k[1]) for k in keys], *[[_signed(held[k][i]) for k in keys] for i in range(6)]]
+            out = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["host", "place", "vector", "pages", "least", "most", "few", "many"])
             held.clear()
             return out
 
@@ -205,38 +217,48 @@ def deduce(pages: DataFrame) -> DataFrame:
             for name, number, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found, counts = blocks(page)
                 texts: dict[int, list[str]] = {}
-                for place, text, _, _ in found:
+                for place, text, *_ in found:
                     texts.setdefault(place, []).append(text)
-                whole = _stable("\n".join(t for _, t, _, _ in found)) >> 1
+                whole = _stable("\n".join(t for _, t, *_ in found)) >> 1
                 counts[0] = 1  # the page itself
                 for place, n in counts.items():
                     text = whole if place == 0 else _stable("\n".join(texts.get(place, ()))) >> 1
-                    row = held.setdefault((name, place), [0, 0, text, text])
+                    row = held.setdefault((name, place), [0, 0, text, text, n, n])
                     row[0] ^= _mix(number & tv._MASK, n)
                     row[1] += 1
                     row[2], row[3] = min(row[2], text), max(row[3], text)
+                    row[4], row[5] = min(row[4], n), max(row[5], n)
                 if len(held) > 200_000:
                     yield rows()
         if held:
             yield rows()
 
-    sums = map_arrow(pages.select("host", "number", "html"), run, "host string, place bigint, vector bigint, pages bigint, least bigint, most bigint")
-    sums = sums.groupBy("host", "place").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"))
-    whole = sums.filter("place = 0").select("host", F.col("pages").alias("all"), (F.col("least") < F.col("most")).alias("varies"))
+    sums = map_arrow(contents(pages), run, "host string, place bigint, vector bigint, pages bigint, least bigint, most bigint, few bigint, many bigint")
+    sums = sums.groupBy("host", "place").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("few").alias("few"), F.max("many").alias("many"))
+    sums = durable(sums)
+    whole = sums.filter("place = 0 AND least < most").select("host", F.col("pages").alias("all"))
     tokens = sums.filter("place <> 0")
-    classes = tokens.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"), F.collect_list(F.when(F.col("least") == F.col("most"), F.col("place"))).alias("same"))
-    valid = classes.join(whole, "host").filter((F.col("tokens") >= LEAST_TOKENS) & (F.col("pages") >= F.greatest(F.lit(2), F.col("all") * LEAST_SHARE)) & F.col("varies"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("same")).alias("fixed"))
+    even = F.min(F.col("few") == F.col("many")).alias("even")
+    classes = tokens.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"), even)
+    good = classes.join(whole, "host").filter(((F.col("tokens") >= LEAST_TOKENS) | (F.col("even") & (F.col("pages") == F.col("all")))) & (F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("all") * LEAST_SHARE)))
+    places = tokens.join(good.select("host", "vector", "pages"), ["host", "vector", "pages"], "left_semi")
+    # A host's template is as long as its pages have different places on half of them.
+    return places.groupBy("host").agg(F.collect_list("place").alias("valid"), F.collect_list(F.when(F.col("least") == F.col("most"), F.col("place"))).alias("fixed"))
+
 
+Template = tuple[frozenset[int], frozenset[int]]
+NO_TEMPLATE: Template = (frozenset(), frozenset())
 
-def main_text(page: str, fixed: frozenset[int]) -> str:
+
+def main_text(page: str, template: Template = NO_TEMPLATE) -> str:
     """Blocks of the article which the template doesn't hold, one a line.
 
     A page without an article element is read from all slots that aren't boilerplate.  An
     article below marked elements is read if nothing else of the page is as long.
     """
-    found, _ = blocks(page)
-    slots = [(text, out, main) for place, text, out, main in found if out != OUT and place not in fixed]
+    valid, fixed = template
+    found, _ = blocks(page, valid)
+    slots = [(text, out, main) for place, text, out, main, nested in found if out != OUT and not (nested and place in fixed)]
     kept = [text for text, out, main in slots if out == IN and main]
     if not kept:
         kept = [text for text, out, _ in slots if out == IN]
@@ -250,35 +272,41 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """The article's text of each page: id, url and text.
 
     One row per input row.  A null page is empty and has an empty text; pages without a url
-    or with one that names no host share the empty host; a host with one page, or with
-    copies of one page only, has no template, and is read by its elements alone; repeated
-    rows give repeated results; other columns are not read.
+    or with one that names no host share the empty host; a host with few different
+    pages has no template, and is read by its elements alone; repeated
+    rows give repeated results and count once for the template; very long pages are read whole; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("link"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host(F.col("link"))).withColumn("number", F.xxhash64("key", "link", "html"))
+    rows = rows.withColumn("host", host(F.col("link")))
     kind = dict(rows.dtypes)["key"]
-    fixed = durable(deduce(rows))
+    templates = durable(deduce(rows))
     sent = None
-    if (fixed.agg(F.sum(F.size("fixed") + 10)).head()[0] or 0) <= SENT_PLACES:
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(p & tv._MASK for p in r["fixed"]) for r in fixed.collect()})
+    if (templates.agg(F.sum(F.size("valid") + F.size("fixed") + 10)).head()[0] or 0) <= SENT_PLACES:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (_places(r["valid"]), _places(r["fixed"])) for r in templates.collect()})
         rows = rows.select("key", "link", "html", "host")
     else:
-        fixed = fixed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        rows = rows.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(fixed, ["host", "salt"], "left").select("key", "link", "html", "fixed")
+        templates = templates.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "link", "html"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(templates, ["host", "salt"], "left").select("key", "link", "html", F.struct("valid", "fixed").alias("template"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for page, where in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                places = sent.value.get(where, frozenset()) if sent is not None else frozenset(p & tv._MASK for p in where or ())
-                texts.append(main_text(page, places))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "link", "text"])
+            for a, b in pieces(batch):
+                part, texts = batch.slice(a, b - a), []
+                for page, where in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    template = sent.value.get(where, NO_TEMPLATE) if sent is not None else (_places(where["valid"]), _places(where["fixed"]))
+                    texts.append(main_text(page, template))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["key", "link", "text"])
 
     done = map_arrow(rows, run, f"key {kind}, link string, text string")
     return done.select(F.col("key").alias(id_col), F.col("link").alias(url_col), "text")
 
 
+def _places(places: list[int] | None) -> frozenset[int]:
+    return frozenset(p & tv._MASK for p in places or ())
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
