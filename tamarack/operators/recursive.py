@@ -14,9 +14,11 @@ MOST_ROUNDS = 1000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it;
-    a temporary one of this machine where it is unset, as in tests."""
+    where it is unset, as in tests, a temporary one if all work runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder which the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -7,8 +7,9 @@ so a failed statement changes nothing.
 
 from __future__ import annotations
 
+import re
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,29 @@ def _word(t, *words: str) -> bool:
     return isinstance(t, str) and t.lower() in words
 
 
+def _resolved(g: list, columns: set[str], table: str) -> list:
+    """Names of the stored row's columns, bare or after the table's name, as columns of ``old``."""
+    out = Group(g.opens, g.closes) if isinstance(g, Group) else []
+    for i, t in enumerate(g):
+        after = g[i + 1] if i + 1 < len(g) else None
+        if isinstance(t, Group):
+            out.append(_resolved(t, columns, table))
+        elif i and g[i - 1] == ".":
+            out.append(t)
+        elif after == "." and plain(t).lower() == table:
+            out.append("old")
+        elif t[:1] != "'" and plain(t).lower() in columns and after != "." and not (isinstance(after, Group) and after.opens == "("):
+            out += ["old", ".", t]
+        else:
+            out.append(t)
+    return out
+
+
+def _spaced(sql: str) -> list[str]:
+    """Text of Spark SQL in pieces: literals, quoted and plain names, and what is between them."""
+    return re.findall(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|[^'`A-Za-z_]+|['`]", sql)
+
+
 def _find(g: list, *words: str) -> int:
     """Place of the first of these words outside brackets, or the length."""
     return next((i for i, t in enumerate(g) if _word(t, *words)), len(g))
@@ -53,6 +77,7 @@ class Database:
     def __init__(self, spark: SparkSession, name: str = "main"):
         self.spark, self.name = spark, name
         self.tables: dict[str, Table] = {}
+        self.marks: list[tuple[str, dict[str, Table]]] = []
         self.folder = f"{shared_folder(spark)}/databases/{name}-{uuid.uuid4().hex}"
 
     def attach(self, name: str, frame: DataFrame) -> None:
@@ -76,12 +101,54 @@ class Database:
             return getattr(self, f"_{first}")(g)
         if any(_word(t, "sqlite_master", "sqlite_schema", "pg_tables") for t in tokens(sql)):
             catalog.register(self.spark, {n: t.frame for n, t in self.tables.items()})
-        if first in ("begin", "commit", "rollback", "savepoint", "release", "pragma", "analyze", "set", "listen", "unlisten", "notify"):
+        if first in ("begin", "start", "commit", "end", "rollback", "savepoint", "release"):
+            return self._transaction(first, [t for t in g[1:] if isinstance(t, str)])
+        if first in ("pragma", "analyze", "set", "listen", "unlisten", "notify"):
             return Done(first.upper())
         if first == "explain":
             return self.spark.sql("EXPLAIN FORMATTED " + text(g[1:]))
         return self.spark.sql(text(g), args=list(args)) if args else self.spark.sql(text(g))
 
+    # Transactions: a table is a name for a snapshot, so a mark is a copy of the names
+    def _copy(self) -> dict[str, Table]:
+        fresh = lambda x: x.copy() if isinstance(x, (dict, list)) else x
+        return {n: replace(t, **{f.name: fresh(getattr(t, f.name)) for f in fields(t)}) for n, t in self.tables.items()}
+
+    def _restore(self, tables: dict[str, Table]) -> None:
+        for name in self.tables.keys() - tables.keys():
+            self.spark.catalog.dropTempView(name)
+        kept, self.tables = self.tables, tables
+        self.tables = self._copy()
+        for name, table in self.tables.items():
+            if name not in kept or kept[name].frame is not table.frame:
+                table.frame.createOrReplaceTempView(name)
+
+    def _transaction(self, first: str, rest: list[str]) -> Done:
+        """BEGIN, COMMIT, ROLLBACK [TO], SAVEPOINT and RELEASE, for tables; the innermost savepoint of a name counts."""
+        words = [t.lower() for t in rest if t.lower() not in ("transaction", "work", "savepoint", "deferred", "immediate", "exclusive")]
+        to = words[:1] == ["to"]
+        if first in ("begin", "start"):
+            if self.marks:
+                raise DialectError("a transaction is open")
+            self.marks.append(("", self._copy()))
+        elif first == "savepoint":
+            self.marks.append((words[0], self._copy()))
+        elif first == "release" or to:
+            name = words[1] if to else words[0]
+            at = max((i for i, (n, _) in enumerate(self.marks) if n == name), default=None)
+            if at is None:
+                raise DialectError(f"no such savepoint: {name}")
+            if to:
+                self._restore(self.marks[at][1])
+            del self.marks[at + to :]
+        else:
+            if not self.marks:
+                raise DialectError(f"no transaction to {first}")
+            if first == "rollback":
+                self._restore(self.marks[0][1])
+            self.marks.clear()
+        return Done(first.upper())
+
     # Snapshots
     def _table(self, name: str) -> Table:
         try:
@@ -215,16 +282,44 @@ class Database:
             default = table.defaults.get(column.strip("`"))
             self._move(name, table, dml.add_column(table.frame, column.strip("`"), kind, F.expr(default) if default else None))
         elif _word(rest[0], "drop"):
-            self._move(name, table, dml.drop_column(table.frame, plain(rest[skip])))
+            self._drop_column(name, table, plain(rest[skip]))
         elif _word(rest[1], "to"):
             self.tables.pop(plain(name).lower())
             self.spark.catalog.dropTempView(plain(name))
             self.tables[plain(rest[2]).lower()] = table
             table.frame.createOrReplaceTempView(plain(rest[2]))
         else:
-            self._move(name, table, dml.rename_column(table.frame, plain(rest[skip]), plain(rest[skip + 2])))
+            self._rename_column(name, table, plain(rest[skip]), plain(rest[skip + 2]))
         return Done("ALTER TABLE")
 
+    def _drop_column(self, name: str, table: Table, column: str) -> None:
+        """A column goes with its own default and NOT NULL; what else names it forbids that."""
+        low = column.lower()
+        held = [k for keys in table.unique for k in keys] + list(table.references) + list(table.generated) + ([table.key] if table.key else [])
+        named = any(low in {plain(t).lower() for t in tokens(v)} for v in (*table.checks.values(), *table.generated.values()))
+        if named or low in map(str.lower, held):
+            raise DialectError(f"a constraint names the column {column}")
+        table.defaults = {k: v for k, v in table.defaults.items() if k.lower() != low}
+        table.not_null = [c for c in table.not_null if c.lower() != low]
+        self._move(name, table, dml.drop_column(table.frame, column))
+
+    def _rename_column(self, name: str, table: Table, old: str, new: str) -> None:
+        """The constraints, here and of the tables which refer to the column, follow its name."""
+        if old.lower() not in map(str.lower, table.frame.columns):
+            raise DialectError(f"no such column: {old}")
+        low = old.lower()
+        other = lambda c: new if c is not None and c.lower() == low else c
+        value = lambda v: "".join(f"`{new}`" if t[:1] != "'" and plain(t.strip("`")).lower() == low else t for t in _spaced(v))
+        table.defaults = {other(k): v for k, v in table.defaults.items()}
+        table.generated = {other(k): value(v) for k, v in table.generated.items()}
+        table.checks = {k: value(v) for k, v in table.checks.items()}
+        table.not_null, table.key = list(map(other, table.not_null)), other(table.key)
+        table.unique = [list(map(other, keys)) for keys in table.unique]
+        table.references = {other(k): v for k, v in table.references.items()}
+        for t in self.tables.values():
+            t.references = {k: (target, other(key) if target == plain(name).lower() else key, action) for k, (target, key, action) in t.references.items()}
+        self._move(name, table, dml.rename_column(table.frame, old, new))
+
     # INSERT, UPDATE, DELETE
     def _insert(self, g: list) -> DataFrame | Done:
         rule = g[2].lower() if _word(g[1], "or") else ""
@@ -254,24 +349,36 @@ class Database:
         rows = dml.with_defaults(rows, table.frame, defaults, generated)
         rows = self.spark.read.schema(rows.schema).parquet(self._kept(rows))
         keys = table.unique[0] if table.unique else []
+        done = rows
         if conflict < len(g):
             clause = g[conflict + 2 : back]
             if clause and isinstance(clause[0], Group):
                 keys = [plain(p[0]) for p in _commas(clause[0])]
             if any(_word(t, "nothing") for t in clause):
-                new = dml.insert_or_ignore(table.frame, rows, keys)
+                rule = "ignore"
             else:
-                changes = self._changes(clause[_find(clause, "set") + 1 :], f"{plain(name)}.", "old.")
-                new = dml.upsert(table.frame, rows, keys, changes)
-        elif rule == "replace":
-            new = dml.insert_or_replace(table.frame, rows, keys)
+                at = _find(clause, "set") + 1
+                end = at + _find(clause[at:], "where")
+                columns = {c.lower() for c in table.frame.columns}
+                of = lambda part: _resolved(part, columns, plain(name).lower())
+                changes = {plain(p[0]): F.expr(text(of(p[2:]))) for p in _commas(clause[at:end])}
+                where = F.expr(text(of(clause[end + 1 :]))) if end < len(clause) else None
+                new = dml.upsert(table.frame, rows, keys, changes, where, mark="__did")
+                new = self.spark.read.schema(new.schema).parquet(self._kept(new))
+                done, new, rule = new.filter("__did").drop("__did"), new.drop("__did"), "upsert"
+        if rule == "replace":
+            done = dml._last_of_each(rows, keys, None) if keys else rows
+            done = self.spark.read.schema(rows.schema).parquet(self._kept(done.select(rows.columns)))
+            new = dml.insert_or_replace(table.frame, done, keys) if keys else table.frame.unionByName(done)
         elif rule == "ignore":
-            new = dml.insert_or_ignore(table.frame, rows, keys)
-        else:
+            done = dml.not_there(table.frame, rows, keys) if keys else rows
+            done = self.spark.read.schema(rows.schema).parquet(self._kept(done))
+            new = table.frame.unionByName(done)
+        elif rule != "upsert":
             new = table.frame.unionByName(rows)
-        count = rows.count()
+        count = done.count()
         self._move(name, table, new)
-        return self._returned(rows, g[back + 1 :]) if back < len(g) else Done("INSERT", count)
+        return self._returned(done, g[back + 1 :]) if back < len(g) else Done("INSERT", count)
 
     def _kept(self, rows: DataFrame) -> str:
         path = f"{self.folder}/rows/{uuid.uuid4().hex}"
@@ -281,12 +388,8 @@ class Database:
     def _returned(self, rows: DataFrame, columns: list) -> DataFrame:
         return rows.selectExpr(*[text(p) for p in _commas(columns)])
 
-    def _changes(self, g: list, old: str = "", new: str = "") -> dict[str, Column]:
-        out = {}
-        for p in _commas(g):
-            value = text(p[2:])
-            out[plain(p[0])] = F.expr(value.replace(old, new) if old else value)
-        return out
+    def _changes(self, g: list) -> dict[str, Column]:
+        return {plain(p[0]): F.expr(text(p[2:])) for p in _commas(g)}
 
     def _update(self, g: list) -> DataFrame | Done:
         name, table = g[1], self._table(g[1])

@@ -48,10 +48,15 @@ def _last_of_each(rows: DataFrame, keys: Sequence[str], order: Column | None, la
     return rows.withColumn("__n", F.row_number().over(w)).filter(free | (F.col("__n") == 1)).drop("__o", "__n")
 
 
+def not_there(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """The rows that INSERT OR IGNORE inserts: of each new key the first row."""
+    rows = _last_of_each(with_defaults(rows, table), keys, order, last=False)
+    return rows.join(table.select(*keys), list(keys), "left_anti").select(table.columns)
+
+
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """ON CONFLICT DO NOTHING: rows whose key is there, or earlier in the batch, are left out."""
-    rows = _last_of_each(with_defaults(rows, table), keys, order, last=False)
-    return table.unionByName(rows.join(table.select(*keys), list(keys), "left_anti").select(table.columns))
+    return table.unionByName(not_there(table, rows, keys, order))
 
 
 def insert_or_replace(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
@@ -60,17 +65,24 @@ def insert_or_replace(table: DataFrame, rows: DataFrame, keys: Sequence[str], or
     return table.join(rows.select(*keys), list(keys), "left_anti").select(table.columns).unionByName(rows)
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], changes: Mapping[str, Column]) -> DataFrame:
-    """ON CONFLICT (keys) DO UPDATE SET: one full join; changes may name old.c and excluded.c."""
+def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], changes: Mapping[str, Column], where: Column | None = None, mark: str | None = None) -> DataFrame:
+    """ON CONFLICT (keys) DO UPDATE SET ... [WHERE]: one full join; changes may name old.c and excluded.c.
+
+    ``mark`` names a further column which says of each row whether it was inserted or updated.
+    """
     old, new = table.alias("old"), with_defaults(rows, table).alias("excluded")
     on = [F.col(f"old.{k}") == F.col(f"excluded.{k}") for k in keys]
     mark_old, mark_new = old.withColumn("__old", F.lit(1)).alias("old"), new.withColumn("__new", F.lit(1)).alias("excluded")
     joined = mark_old.join(mark_new, on, "full")
     both = F.col("__old").isNotNull() & F.col("__new").isNotNull()
+    if where is not None:
+        both = both & F.coalesce(where, F.lit(False))
     out = []
     for f in table.schema.fields:
         value = changes.get(f.name, F.col(f"old.{f.name}"))
         out.append(F.when(both, value).when(F.col("__old").isNotNull(), F.col(f"old.{f.name}")).otherwise(F.col(f"excluded.{f.name}")).cast(f.dataType).alias(f.name))
+    if mark:
+        out.append((both | F.col("__old").isNull()).alias(mark))
     return joined.select(*out)
 
 

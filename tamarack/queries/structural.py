@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators.joins import asof_join, natural_join, range_join
 from ..operators.recursive import fixpoint, shared_folder
 from ..plans import dml
+from ..plans.database import Database
 from ..sources import catalog, files
 from ..streaming import events as stream
 from ..session import TABLES, register, table
@@ -31,11 +32,11 @@ def query(sql: str | None = None):
 
 
 # Recursion with UNION
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_partkey < 40),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem),
   r(n) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON e.a = r.n) SELECT n FROM r""")
 def recursive_union_distinct(spark, sf_dir):
     """Reachable nodes of a graph with cycles: only new rows go on."""
-    edges = table(spark, sf_dir, "lineitem").filter("l_partkey < 40").select(c("l_suppkey").alias("a"), (c("l_partkey") % 100).alias("b")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("a"), (c("l_partkey") % 100).alias("b")).distinct()
     return fixpoint(spark.range(1, 2).toDF("n"), lambda d: d.join(edges, d["n"] == edges["a"]).select(c("b").alias("n")))
 
 
@@ -77,10 +78,10 @@ def _orders(spark, sf_dir):
 _O = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders"
 
 
-@query(f"{_O} UNION ALL SELECT o_orderkey + 10000000, 1, 0.0, 'N' FROM orders WHERE o_orderkey < 4")
+@query(f"{_O} UNION ALL SELECT o_orderkey + 10000000, 1, 0.0, 'N' FROM orders WHERE o_orderstatus = 'P'")
 def insert_with_defaults(spark, sf_dir):
     old = _orders(spark, sf_dir)
-    rows = old.filter("o_orderkey < 4").select((c("o_orderkey") + 10_000_000).alias("o_orderkey"), F.lit(1).alias("o_custkey"))
+    rows = old.filter("o_orderstatus = 'P'").select((c("o_orderkey") + 10_000_000).alias("o_orderkey"), F.lit(1).alias("o_custkey"))
     return dml.insert(old, rows, defaults={"o_totalprice": F.lit(0.0)}, generated={"o_orderstatus": F.lit("N")})
 
 
@@ -91,14 +92,13 @@ def insert_select(spark, sf_dir):
 
 
 def _batch(old):
-    """Orders around the greatest key, some there and some not, some twice."""
-    some = old.filter("o_orderkey % 7 = 0")
-    rows = some.union(some.withColumn("o_orderkey", c("o_orderkey") + 10_000_000)).withColumn("o_totalprice", F.lit(1.0)).withColumn("v", F.lit(1))
-    again = rows.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(2.0)).withColumn("v", F.lit(2))
+    """All orders and as many with new keys; open ones twice."""
+    rows = old.union(old.withColumn("o_orderkey", c("o_orderkey") + 10_000_000)).withColumn("o_totalprice", F.lit(1.0)).withColumn("v", F.lit(1))
+    again = rows.filter("o_orderstatus = 'O'").withColumn("o_totalprice", F.lit(2.0)).withColumn("v", F.lit(2))
     return rows.union(again)
 
 
-_BATCH = "picked AS (SELECT * FROM o WHERE o_orderkey % 7 = 0), b AS (SELECT o_orderkey + x * 10000000 AS o_orderkey, o_custkey, v::DOUBLE AS o_totalprice, o_orderstatus, v FROM picked, (VALUES (0), (1)) t(x), (VALUES (1), (2)) u(v) WHERE v = 1 OR (o_orderkey + x * 10000000) % 2 = 0)"
+_BATCH = "b AS (SELECT o_orderkey + x * 10000000 AS o_orderkey, o_custkey, v::DOUBLE AS o_totalprice, o_orderstatus, v FROM o, (VALUES (0), (1)) t(x), (VALUES (1), (2)) u(v) WHERE v = 1 OR o_orderstatus = 'O')"
 
 
 @query(f"WITH o AS ({_O}), {_BATCH} SELECT * FROM o UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM b WHERE v = 1 AND o_orderkey NOT IN (SELECT o_orderkey FROM o)")
@@ -276,3 +276,64 @@ def session_window(spark, sf_dir):
 def frames_and_glob(spark, sf_dir):
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     return table(spark, sf_dir, "nation").filter(text.glob(c("n_name"), "*A*")).select("n_nationkey", F.when(F.row_number().over(w) == 1, "first").otherwise("later").alias("place"))
+
+
+# Statements of the dialect, on a database of the tables
+def _database(spark, sf_dir, *names):
+    db = Database(spark, "queries")
+    for n in names:
+        db.attach(n, table(spark, sf_dir, n))
+    return db
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey + CASE WHEN n_regionkey = 2 THEN 10 ELSE 0 END AS n_regionkey FROM nation")
+def transaction_rollback(spark, sf_dir):
+    """What follows a savepoint or BEGIN is undone; what came before stays."""
+    db = _database(spark, sf_dir, "nation")
+    db.run("""UPDATE nation SET n_regionkey = n_regionkey + 10 WHERE n_regionkey = 2; BEGIN; DELETE FROM nation; SAVEPOINT a;
+      INSERT INTO nation SELECT 99, 'NOWHERE', 9; ROLLBACK TO SAVEPOINT a; RELEASE a; ROLLBACK""")
+    return db.execute("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_nationkey < 5 THEN c_nationkey + 1000 ELSE c_nationkey END AS c_nationkey FROM customer UNION ALL SELECT -1, 'see customer.c_name', 0")
+def upsert_statement(spark, sf_dir):
+    db = Database(spark, "queries")
+    db.attach("holders", table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    db.execute("CREATE UNIQUE INDEX one ON holders (c_custkey)")
+    db.execute("""INSERT INTO holders SELECT c_custkey, 'x', 1000 FROM holders UNION ALL SELECT -1, 'see customer.c_name', 0
+      ON CONFLICT (c_custkey) DO UPDATE SET c_nationkey = c_nationkey + excluded.c_nationkey WHERE holders.c_nationkey < 5""")
+    return db.execute("SELECT c_custkey, c_name, c_nationkey FROM holders")
+
+
+@query("SELECT s_suppkey, s_nationkey * 2 AS twice FROM supplier WHERE s_nationkey > 12 UNION ALL SELECT s_suppkey + 1000000, 7 FROM supplier")
+def returning_conflict(spark, sf_dir):
+    """RETURNING gives the rows that were stored, not those that were proposed or ignored."""
+    db = Database(spark, "queries")
+    db.attach("sellers", table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    db.execute("CREATE UNIQUE INDEX one ON sellers (s_suppkey)")
+    new = db.execute("INSERT OR IGNORE INTO sellers SELECT s_suppkey, 1 FROM sellers UNION ALL SELECT s_suppkey + 1000000, 7 FROM sellers RETURNING s_suppkey, s_nationkey AS twice")
+    old = db.execute("INSERT INTO sellers SELECT s_suppkey, -5 FROM sellers WHERE s_suppkey < 1000000 ON CONFLICT (s_suppkey) DO UPDATE SET s_nationkey = s_nationkey * 2 WHERE s_nationkey > 12 RETURNING s_suppkey, s_nationkey AS twice")
+    return new.union(old)
+
+
+@query("SELECT r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 77, 'new'")
+def rename_constraint(spark, sf_dir):
+    """Constraints follow a renamed column: the last two rows break them."""
+    db = Database(spark, "queries")
+    db.run("CREATE TABLE areas (r_regionkey INTEGER PRIMARY KEY, r_name TEXT NOT NULL CHECK (length(r_name) < 30))")
+    register(spark, sf_dir, "region")
+    db.run("INSERT INTO areas SELECT r_regionkey, r_name FROM region; ALTER TABLE areas RENAME COLUMN r_regionkey TO id; ALTER TABLE areas RENAME COLUMN r_name TO label; INSERT INTO areas (id, label) VALUES (77, 'new')")
+    for broken in ("(77, 'again')", "(78, 'a name of far more than thirty letters')"):
+        try:
+            db.execute(f"INSERT INTO areas (id, label) VALUES {broken}")
+        except dml.ConstraintError:
+            continue
+        raise AssertionError("a constraint was lost")
+    return db.execute("SELECT id, label FROM areas")
+
+
+@query("""SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS month_end,
+  strftime(o_orderdate + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS later, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS year FROM orders""")
+def date_modifiers_sql(spark, sf_dir):
+    db = _database(spark, sf_dir, "orders")
+    return db.execute("SELECT o_orderkey, date(CAST(o_orderdate AS TEXT), 'start of month', '+1 month', '-1 day') AS month_end, datetime(CAST(o_orderdate AS TEXT), '+36 hours') AS later, date(CAST(o_orderdate AS TEXT), 'start of year') AS year FROM orders")
