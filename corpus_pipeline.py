@@ -39,7 +39,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality rules", quality_stage), ("near duplicates", near_stage), ("personal data", pii_stage), ("packing", packing_stage)]
 
-#: No stage but the choice of rows can be said in SQL; tests hold the rows against brute force.
+#: No stage can be said in SQL.  Each stage's operator is held against brute force by its own tests; the
+#: pipeline's test only compares the stages' rows.
 ORACLE_SQL = None
 
 
