@@ -169,11 +169,6 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
 
 
-def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
-    n = counts["n_words"]
-    return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * n)
-
-
 @functools.cache
 def _capital_table() -> np.ndarray:
     return tv.lower_table() != np.arange(0x110000)
