@@ -165,6 +165,76 @@ def minus(x, what):
     return {k: v for k, v in x.items() if k != what} if isinstance(x, dict) else [e for e in x if e != what]
 
 
+def steps_of(text: str) -> list[str]:
+    """Steps of a path written as an array of text, such as {a,1,"x y"}."""
+    if not (text.startswith("{") and text.endswith("}")):
+        raise ValueError(f"bad path: {text}")
+    return [json.loads(s) if s.startswith('"') else s.strip() for s in re.findall(r'"(?:[^"\\]|\\.)*"|[^,]+', text[1:-1])]
+
+
+def _place(holder, step: str):
+    """The key, or the position, that a step names in an object or an array."""
+    if isinstance(holder, dict):
+        return step
+    if isinstance(holder, list) and re.fullmatch(r"-?\d+", step):
+        return int(step)
+    if isinstance(holder, list):
+        raise ValueError(f"path element is not an integer: {step}")
+    raise Missing
+
+
+def _at(x, steps: list[str]):
+    try:
+        return dump(get(x, steps))
+    except Missing:
+        return None
+
+
+def without(x, steps: list[str]):
+    """Deletes what a path names; a path to nothing changes nothing."""
+    try:
+        holder = get(x, steps[:-1]) if steps else None
+        del holder[_place(holder, steps[-1])]
+    except (Missing, KeyError, IndexError, TypeError):
+        pass
+    return x
+
+
+def put(x, steps: list[str], value, create: bool):
+    """Replaces what a path names; with ``create``, a new key is added, and a position beyond an
+    array's ends goes to that end."""
+    try:
+        holder = get(x, steps[:-1]) if steps else None
+        place = _place(holder, steps[-1]) if steps else None
+    except Missing:
+        return x
+    if isinstance(holder, dict) and (create or place in holder):
+        holder[place] = value
+    elif isinstance(holder, list):
+        if -len(holder) <= place < len(holder):
+            holder[place] = value
+        elif create:
+            holder.insert(len(holder) if place >= 0 else 0, value)
+    return x
+
+
+def put_beside(x, steps: list[str], value, after: bool):
+    """Inserts into an array before (or after) a position, or a new key into an object."""
+    try:
+        holder = get(x, steps[:-1]) if steps else None
+        place = _place(holder, steps[-1]) if steps else None
+    except Missing:
+        return x
+    if isinstance(holder, dict):
+        if place in holder:
+            raise ValueError("cannot replace existing key")
+        holder[place] = value
+    elif isinstance(holder, list):
+        place += len(holder) if place < 0 else 0
+        holder.insert(min(max(place + after, 0), len(holder)) if place >= 0 else 0, value)
+    return x
+
+
 def _over(fn, kind: str, strict: bool = True):
     """A pandas function over JSON texts; null stays null, and text that is no JSON is an error
     (or null, where it isn't strict)."""
@@ -220,6 +290,14 @@ def _udf(name: str, *args):
         return _over(lambda t: _kind(load(t), steps), "string")
     if name == "keys":
         return _over(lambda t: _keys(load(t)), "array<string>")
+    if name == "at":
+        return _over(lambda t, p: _at(load(t), steps_of(p)), "string")
+    if name == "without":
+        return _over(lambda t, p: dump(without(load(t), steps_of(p))), "string")
+    if name == "put":
+        return _over(lambda t, p, v, create: dump(put(load(t), steps_of(p), load(v), bool(create))), "string")
+    if name == "put_beside":
+        return _over(lambda t, p, v, after: dump(put_beside(load(t), steps_of(p), load(v), bool(after))), "string")
     raise ValueError(name)
 
 
@@ -345,3 +423,56 @@ def strip(doc: Column) -> Column:
 
 def pretty_text(doc: Column) -> Column:
     return _udf("pretty")(doc)
+
+
+# JSONB with paths as arrays of text
+def _path(steps) -> Column:
+    return F.lit("{" + ",".join(str(s) if re.fullmatch(r"-?\w+", str(s)) else json.dumps(str(s), ensure_ascii=False) for s in steps) + "}")
+
+
+def at_path(doc: Column, *steps) -> Column:
+    """The operators -> (one step) and #>: canonical JSON of what the path names."""
+    return _udf("at")(doc, _path(steps))
+
+
+def text_at_path(doc: Column, *steps) -> Column:
+    """The operators ->> and #>>: a string as its text, null for null, other values as JSON."""
+    found = at_path(doc, *steps)
+    return F.when(found.startswith('"'), F.get_json_object(found, "$")).when(found != "null", found)
+
+
+def delete_path(doc: Column, *steps) -> Column:
+    """The operator #-."""
+    return _udf("without")(doc, _path(steps))
+
+
+def set_path(doc: Column, steps, value: Column, create: bool = True) -> Column:
+    """JSONB_SET with a path as an array of text; the value is JSON."""
+    return _udf("put")(doc, _path(steps), value, F.lit(create))
+
+
+def insert_path(doc: Column, steps, value: Column, after: bool = False) -> Column:
+    """JSONB_INSERT with a path as an array of text; a key that is there is an error."""
+    return _udf("put_beside")(doc, _path(steps), value, F.lit(after))
+
+
+def to_jsonb(value: Column) -> Column:
+    """JSON of a value of any type, with nulls inside; null stays null."""
+    whole = F.to_json(F.struct(value.alias("x")), {"ignoreNullFields": "false"})
+    return F.when(value.isNotNull(), F.regexp_extract(whole, r'^\{"x":([\s\S]*)\}$', 1))
+
+
+def jsonb_typeof(doc: Column) -> Column:
+    """object, array, string, number, boolean or null; malformed text is an error."""
+    first = F.substring(F.to_json(F.parse_json(doc)), 1, 1)
+    kinds = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+    out = F.when(first.isNull(), None)
+    for mark, kind in kinds.items():
+        out = out.when(first == mark, kind)
+    return out.otherwise("number")
+
+
+def register(spark) -> None:
+    """The functions over paths for statements of the dialect, whose paths are values."""
+    for name, of in (("jsonb_delete_path", "without"), ("jsonb_set_path", "put"), ("jsonb_insert_path", "put_beside")):
+        spark.udf.register(name, _udf(of))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import json
 from ..operators.recursive import shared_folder
 from ..sources import catalog
 from ..sources.files import split_statements
@@ -31,6 +32,7 @@ class Table:
     checks: dict[str, str] = field(default_factory=dict)
     references: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     key: str | None = None
+    primary: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -74,14 +76,28 @@ def _find(g: list, *words: str) -> int:
 
 
 class Database:
+    #: The database whose tables are the session's views now.
+    _entered: Database | None = None
+
     def __init__(self, spark: SparkSession, name: str = "main"):
         self.spark, self.name = spark, name
         self.tables: dict[str, Table] = {}
         self.marks: list[tuple[str, dict[str, Table]]] = []
+        json.register(spark)
         self.folder = f"{shared_folder(spark)}/databases/{name}-{uuid.uuid4().hex}"
 
+    def _enter(self) -> None:
+        """Names mean this database's tables, where another one of the session was used before."""
+        other, Database._entered = Database._entered, self
+        if other is not None and other is not self:
+            for name in other.tables:
+                self.spark.catalog.dropTempView(name)
+            for name, table in self.tables.items():
+                table.frame.createOrReplaceTempView(name)
+
     def attach(self, name: str, frame: DataFrame) -> None:
         """Makes a frame a table of the database."""
+        self._enter()
         self.tables[name.lower()] = Table(frame)
         frame.createOrReplaceTempView(name)
 
@@ -89,26 +105,83 @@ class Database:
         return [self.execute(s) for s in split_statements(script)]
 
     def execute(self, sql: str, *args) -> DataFrame | Done:
-        g = grouped(_names(tokens(sql)))
+        self._enter()
+        g = grouped(self._unqualified(_names(tokens(sql))))
         while g and g[-1] == ";":
             g.pop()
         if not g:
             raise DialectError("an empty statement")
         first = g[0].lower() if isinstance(g[0], str) else "select"
         if first == "with" and (at := _find(g, "insert", "update", "delete")) < len(g):
-            raise DialectError(f"WITH before {g[at]}: put it into the statement's SELECT")
+            return self._with(g[1:at], g[at:])
         if first in ("create", "drop", "alter", "insert", "update", "delete"):
             return getattr(self, f"_{first}")(g)
-        if any(_word(t, "sqlite_master", "sqlite_schema", "pg_tables") for t in tokens(sql)):
+        if any(isinstance(t, str) and t.lower().startswith(("sqlite_", "pg_", "information_schema")) for t in tokens(sql)):
             catalog.register(self.spark, {n: t.frame for n, t in self.tables.items()})
+            for relation, df in catalog.constraints(self.spark, {n: vars(t) for n, t in self.tables.items()}).items():
+                df.createOrReplaceTempView(f"information_schema_{relation}")
         if first in ("begin", "start", "commit", "end", "rollback", "savepoint", "release"):
             return self._transaction(first, [t for t in g[1:] if isinstance(t, str)])
+        if first == "pragma" and (found := self._pragma(g[1:])) is not None:
+            return found
         if first in ("pragma", "analyze", "set", "listen", "unlisten", "notify"):
             return Done(first.upper())
         if first == "explain":
             return self.spark.sql("EXPLAIN FORMATTED " + text(g[1:]))
         return self.spark.sql(text(g), args=list(args)) if args else self.spark.sql(text(g))
 
+    def _unqualified(self, flat: list[str]) -> list[str]:
+        """Names without the schema they are in; those of information_schema are views with its name before theirs."""
+        out: list[str] = []
+        i = 0
+        while i < len(flat):
+            schema = plain(flat[i]).lower() if flat[i][0] != "'" else ""
+            begins = i + 2 < len(flat) and flat[i + 1] == "." and not (out and out[-1] == ".") and schema not in self.tables
+            if begins and schema in ("main", "public", "pg_catalog"):
+                i += 2
+            elif begins and schema == "information_schema":
+                out.append(f"information_schema_{plain(flat[i + 2]).lower()}")
+                i += 3
+                continue
+            out.append(flat[i])
+            i += 1
+        return out
+
+    def _with(self, parts: list, statement: list) -> DataFrame | Done:
+        """WITH before INSERT, UPDATE or DELETE: its tables are views for that statement."""
+        recursive = "RECURSIVE " if _word(parts[0], "recursive") else ""
+        made = []
+        try:
+            for p in _commas(parts[1:] if recursive else parts):
+                self.spark.sql(f"CREATE OR REPLACE TEMP VIEW {quoted(p[0])} AS WITH {recursive}{text(p)} SELECT * FROM {quoted(p[0])}")
+                made.append(plain(p[0]))
+            return getattr(self, f"_{statement[0].lower()}")(statement)
+        finally:
+            for name in made:
+                self.spark.catalog.dropTempView(name)
+                if name.lower() in self.tables:
+                    self.tables[name.lower()].frame.createOrReplaceTempView(name)
+
+    def _pragma(self, g: list) -> DataFrame | None:
+        """The relations of PRAGMA: table_info, table_list, database_list, index_list, foreign_key_list."""
+        what = plain(g[0]).lower()
+        if what == "database_list":
+            return self.spark.createDataFrame([(0, self.name, self.folder)], "seq int, name string, file string")
+        if what == "table_list":
+            rows = [("main", n, "table", len(t.frame.columns)) for n, t in sorted(self.tables.items())]
+            return self.spark.createDataFrame(rows, "schema string, name string, type string, ncol int")
+        if what not in ("table_info", "index_list", "foreign_key_list"):
+            return None
+        t = self._table(g[1][0] if isinstance(g[1], Group) else g[2])
+        if what == "table_info":
+            rows = [(i, c, catalog._declared(kind), int(c in t.not_null and c not in t.primary), t.defaults.get(c), t.primary.index(c) + 1 if c in t.primary else 0) for i, (c, kind) in enumerate(t.frame.dtypes)]
+            return self.spark.createDataFrame(rows, "cid int, name string, type string, notnull int, dflt_value string, pk int")
+        if what == "index_list":
+            rows = [(i, f"unique_{'_'.join(k)}", 1, "pk" if k == t.primary else "u") for i, k in enumerate(t.unique)]
+            return self.spark.createDataFrame(rows, "seq int, name string, unique int, origin string")
+        rows = [(i, 0, parent, c, key, "NO ACTION", action.upper()) for i, (c, (parent, key, action)) in enumerate(t.references.items())]
+        return self.spark.createDataFrame(rows, "id int, seq int, table string, from string, to string, on_update string, on_delete string")
+
     # Transactions: a table is a name for a snapshot, so a mark is a copy of the names
     def _copy(self) -> dict[str, Table]:
         fresh = lambda x: x.copy() if isinstance(x, (dict, list)) else x
@@ -207,6 +280,7 @@ class Database:
             table.unique.append(names)
             if _word(p[0], "primary"):
                 table.not_null += names
+                table.primary = names
             return
         if _word(p[0], "check"):
             table.checks[f"check {len(table.checks) + 1}"] = text(p[1])
@@ -226,6 +300,7 @@ class Database:
             elif _word(p[i], "primary"):
                 table.unique.append([name])
                 table.not_null.append(name)
+                table.primary = [name]
                 table.key = name if "BIGINT" in columns[-1] else None
                 i += 2
             elif _word(p[i], "unique"):
@@ -254,7 +329,7 @@ class Database:
         action = "restrict"
         if "delete" in words:
             after = words[words.index("delete") + 1 :]
-            action = "cascade" if after[:1] == ["cascade"] else "set null" if after[:2] == ["set", "null"] else "restrict"
+            action = "cascade" if after[:1] == ["cascade"] else " ".join(after[:2]) if after[:2] in (["set", "null"], ["set", "default"]) else "restrict"
         table.references[column] = (plain(p[1]).lower(), key, action)
 
     def _drop(self, g: list) -> Done:
@@ -315,6 +390,7 @@ class Database:
         table.checks = {k: value(v) for k, v in table.checks.items()}
         table.not_null, table.key = list(map(other, table.not_null)), other(table.key)
         table.unique = [list(map(other, keys)) for keys in table.unique]
+        table.primary = list(map(other, table.primary))
         table.references = {other(k): v for k, v in table.references.items()}
         for t in self.tables.values():
             t.references = {k: (target, other(key) if target == plain(name).lower() else key, action) for k, (target, key, action) in t.references.items()}
@@ -442,7 +518,8 @@ class Database:
                 if action == "restrict":
                     raise dml.ConstraintError("23503", f"rows of {child} still refer to {parent}")
                 hit = self.spark.read.schema(hit.schema).parquet(self._kept(hit))
-                _, (kept,) = dml.cascade_delete(gone, key, F.lit(True), [(table.frame, column, action)])
+                default = F.expr(table.defaults[column]) if column in table.defaults else None
+                _, (kept,) = dml.cascade_delete(gone, key, F.lit(True), [(table.frame, column, action)], default)
                 if action == "cascade":
                     self._cascade(child, hit)
                 self._move(child, table, kept, check=False)

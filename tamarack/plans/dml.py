@@ -173,17 +173,19 @@ def enforce(table: DataFrame, **constraints) -> DataFrame:
     return table
 
 
-def cascade_delete(parent: DataFrame, key: str, where: Column, children: Sequence[tuple[DataFrame, str, str]]) -> tuple[DataFrame, list[DataFrame]]:
+def cascade_delete(parent: DataFrame, key: str, where: Column, children: Sequence[tuple[DataFrame, str, str]], default: Column | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Deletes parents and what refers to them: each child is (table, column, action), the
-    action being cascade, set null or restrict."""
+    action being cascade, set null, set default (``default``, or null) or restrict."""
     gone = parent.filter(F.coalesce(where, F.lit(False))).select(F.col(key).alias("__gone"))
     out = []
     for child, column, action in children:
         match = F.col(column) == F.col("__gone")
         if action == "cascade":
             out.append(child.join(gone, match, "left_anti"))
-        elif action == "set null":
-            out.append(child.join(gone, match, "left").withColumn(column, F.when(F.col("__gone").isNull(), F.col(column))).drop("__gone"))
+        elif action in ("set null", "set default"):
+            other = default if action == "set default" and default is not None else F.lit(None)
+            value = F.when(F.col("__gone").isNull(), F.col(column)).otherwise(other).cast(child.schema[column].dataType)
+            out.append(child.join(gone, match, "left").withColumn(column, value).drop("__gone"))
         elif not child.join(gone, match, "left_semi").isEmpty():
             raise ConstraintError("23503", f"rows still refer to {key}")
         else:

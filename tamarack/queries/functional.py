@@ -104,6 +104,12 @@ add("jsonb_pretty_strip", "region", lambda: {"k": c("r_regionkey"), "p": js.pret
 add("jsonb_each", "events", lambda df: df.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")), "SELECT event_id, 'k' AS name, props->>'$.k' AS value FROM events")
 add("jsonb_array_elements", "nation", lambda df: df.select("n_nationkey", F.posexplode(F.from_json(F.concat(F.lit("["), c("n_nationkey"), F.lit(",null,7]")), "array<string>")).alias("pos", "value")), "SELECT n_nationkey, pos::INT AS pos, value FROM (SELECT n_nationkey, 0 AS pos, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT n_nationkey, 1, NULL FROM nation UNION ALL SELECT n_nationkey, 2, '7' FROM nation)")
 add("jsonb_object_keys", "nation", lambda df: df.select("n_nationkey", F.explode(js.keys(F.lit('{"b":1,"a":2}'))).alias("key")), "SELECT n_nationkey, unnest(['a', 'b']) AS key FROM nation")
+add("jsonb_arrow", "events", lambda: {"k": c("event_id"), "a": js.at_path(js.concat(props(), F.lit('{"s":"x","l":[1,2]}')), "s"), "t": js.text_at_path(js.concat(props(), F.lit('{"s":"x","l":[1,2]}')), "s"), "i": js.at_path(props(), "k"), "l": js.at_path(js.concat(props(), F.lit('{"l":[1,2]}')), "l", -1), "m": js.text_at_path(props(), "none")}, """SELECT event_id AS k, '"x"' AS a, 'x' AS t, props->>'$.k' AS i, '2' AS l, NULL AS m FROM events""")
+add("jsonb_delete_path", "events", lambda: {"k": c("event_id"), "d": js.delete_path(js.concat(props(), F.lit('{"l":[1,{"a":2,"b":3}]}')), "l", 1, "a"), "n": js.delete_path(props(), "none", "x"), "e": js.delete_path(props(), "k")}, """SELECT event_id AS k, '{"k":' || (props->>'$.k') || ',"l":[1,{"b":3}]}' AS d, '{"k":' || (props->>'$.k') || '}' AS n, '{}' AS e FROM events""")
+add("jsonb_set_path", "events", lambda: {"k": c("event_id"), "s": js.set_path(props(), ["k"], F.lit('"new"')), "a": js.set_path(props(), ["z"], F.lit("[1]")), "n": js.set_path(props(), ["z"], F.lit("[1]"), create=False), "l": js.set_path(F.concat(F.lit("["), js.at_path(props(), "k"), F.lit(",2]")), [-1], F.lit("9"))}, """SELECT event_id AS k, '{"k":"new"}' AS s, '{"k":' || (props->>'$.k') || ',"z":[1]}' AS a, '{"k":' || (props->>'$.k') || '}' AS n, '[' || (props->>'$.k') || ',9]' AS l FROM events""")
+add("jsonb_insert_path", "nation", lambda: {"k": c("n_nationkey"), "b": js.insert_path(F.to_json(F.array("n_nationkey", "n_regionkey")), [1], F.lit('"x"')), "a": js.insert_path(F.to_json(F.array("n_nationkey", "n_regionkey")), [1], F.lit('"x"'), after=True), "o": js.insert_path(F.to_json(F.struct(c("n_name").alias("b"))), ["a"], F.lit("1"))}, """SELECT n_nationkey AS k, '[' || n_nationkey || ',"x",' || n_regionkey || ']' AS b, '[' || n_nationkey || ',' || n_regionkey || ',"x"]' AS a, '{"a":1,"b":"' || n_name || '"}' AS o FROM nation""")
+add("to_jsonb", "nation", lambda: {"k": c("n_nationkey"), "n": js.to_jsonb(c("n_nationkey")), "s": js.to_jsonb(c("n_name")), "b": js.to_jsonb(c("n_nationkey") > 3), "z": js.to_jsonb(F.nullif("n_nationkey", c("n_nationkey"))), "l": js.to_jsonb(F.array("n_name", F.nullif("n_name", c("n_name"))))}, """SELECT n_nationkey AS k, n_nationkey::VARCHAR AS n, '"' || n_name || '"' AS s, CASE WHEN n_nationkey > 3 THEN 'true' ELSE 'false' END AS b, NULL AS z, '["' || n_name || '",null]' AS l FROM nation""")
+add("jsonb_typeof", "events", lambda: {"k": c("event_id"), "o": js.jsonb_typeof(props()), "n": js.jsonb_typeof(js.at_path(props(), "k")), "s": js.jsonb_typeof(js.to_jsonb(c("event_id").cast("string"))), "a": js.jsonb_typeof(F.to_json(F.array("event_id"))), "z": js.jsonb_typeof(F.lit(" null ")), "m": js.jsonb_typeof(js.at_path(props(), "none"))}, "SELECT event_id AS k, 'object' AS o, 'number' AS n, 'string' AS s, 'array' AS a, 'null' AS z, NULL AS m FROM events")
 # Aggregates
 add("total", "orders", lambda df: df.groupBy("o_orderstatus").agg(F.round(aggregates.total(F.when(c("o_orderstatus") != "P", c("o_totalprice"))), 2).alias("t")), "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE round(sum(o_totalprice), 2) END AS t FROM orders GROUP BY o_orderstatus")
 add("group_concat", "nation", lambda df: df.groupBy("n_regionkey").agg(aggregates.group_concat(c("n_name"), c("n_nationkey")).alias("names"), aggregates.group_concat(c("n_regionkey"), c("n_nationkey"), "|", distinct=True).alias("once"), aggregates.string_agg(c("n_name"), c("n_nationkey")).alias("tight"), aggregates.group_concat(F.nullif("n_regionkey", c("n_regionkey")), c("n_nationkey")).alias("nothing")), "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, n_regionkey::VARCHAR AS once, string_agg(n_name, '' ORDER BY n_nationkey) AS tight, NULL AS nothing FROM nation GROUP BY n_regionkey")

@@ -122,7 +122,9 @@ def test_returning_views_and_catalog(both):
 
 @pytest.mark.parametrize(("sql", "want"), [
     ("SELECT '12'::int + 1", 13), ("SELECT ARRAY[1, 2, 3][2]", 2), ("SELECT 2 = ANY(ARRAY[1, 2])", True), ("SELECT ARRAY[1, 2] @> ARRAY[2]", True),
-    ("SELECT '{\"a\":{\"b\":5}}' ->> '$.a.b'", "5"), ("SELECT '{\"a\":[1,7]}' #>> '{a,1}'", "7"), ("SELECT 1 IS DISTINCT FROM NULL", True), ("SELECT group_concat(x) FROM (VALUES ('a')) AS t(x)", "a"), ("SELECT '2.5'::text || 'x'", "2.5x"),
+    ("SELECT '{\"a\":{\"b\":5}}' ->> '$.a.b'", "5"), ("SELECT '{\"a\":\"x\"}' -> 'a'", '"x"'), ("SELECT '{\"a\":null}' -> 'a'", "null"), ("SELECT '{\"a\":null}' -> 'b'", None), ("SELECT '{\"a\":[1,\"x\"]}' #> '{a,1}'", '"x"'), ("SELECT '{\"a\":[1,2]}' #- '{a,0}'", '{"a":[2]}'),
+    ("SELECT jsonb_set('{\"a\":1}', '{b}', '2')", '{"a":1,"b":2}'), ("SELECT jsonb_insert('[1,2]', '{0}', '0')", "[0,1,2]"), ("SELECT to_jsonb('x')", '"x"'), ("SELECT jsonb_typeof('[1]')", "array"), ("SELECT jsonb_typeof('1.5')", "number"), ("SELECT length(randomblob(20))", 20),
+    ("SELECT count(*) FROM main.users", 3), ("SELECT '{\"a\":[1,7]}' #>> '{a,1}'", "7"), ("SELECT 1 IS DISTINCT FROM NULL", True), ("SELECT group_concat(x) FROM (VALUES ('a')) AS t(x)", "a"), ("SELECT '2.5'::text || 'x'", "2.5x"),
 ])
 def test_overlay(both, sql, want):
     assert rows(both[0].execute(sql))[0][0] == want
@@ -132,3 +134,25 @@ def test_errors():
     for sql in ("SELECT (1", "SELECT 1)"):
         with pytest.raises(DialectError):
             to_spark(sql)
+
+
+def test_with_before_changes(spark):
+    db = Database(spark, "withs")
+    db.run("CREATE TABLE w (id INTEGER PRIMARY KEY, v INTEGER); INSERT INTO w VALUES (1, 10), (2, 20), (3, 30)")
+    db.execute("WITH big AS (SELECT id + 10 AS id, v FROM w WHERE v > 15) INSERT INTO w (id, v) SELECT id, v FROM big")
+    db.execute("WITH RECURSIVE n(x) AS (SELECT 100 UNION ALL SELECT x + 1 FROM n WHERE x < 102) INSERT INTO w (id, v) SELECT x, 0 FROM n")
+    assert rows(db.execute("SELECT id FROM w ORDER BY id")) == [(1,), (2,), (3,), (12,), (13,), (100,), (101,), (102,)]
+    db.execute("WITH w2 AS (SELECT id FROM w WHERE id >= 100) DELETE FROM w WHERE id IN (SELECT id FROM w2)")
+    assert rows(db.execute("SELECT count(*) FROM w")) == [(5,)]
+
+
+def test_set_default_and_relations(spark):
+    db = Database(spark, "defaults")
+    db.run("CREATE TABLE p (id INTEGER PRIMARY KEY, name TEXT DEFAULT 'n'); CREATE TABLE k (id INTEGER PRIMARY KEY, p_id INTEGER DEFAULT 1 REFERENCES p(id) ON DELETE SET DEFAULT, CHECK (id > 0), UNIQUE (p_id, id))")
+    db.run("INSERT INTO p VALUES (1, 'a'), (2, 'b'); INSERT INTO k VALUES (7, 2), (8, NULL); DELETE FROM p WHERE id = 2")
+    assert rows(db.execute("SELECT id, p_id FROM k ORDER BY id")) == [(7, 1), (8, None)]
+    assert rows(db.execute("PRAGMA table_info(p)")) == [(0, "id", "INTEGER", 0, None, 1), (1, "name", "TEXT", 0, "'n'", 0)]
+    assert [r[2:] for r in rows(db.execute("PRAGMA foreign_key_list(k)"))] == [("p", "p_id", "id", "NO ACTION", "SET DEFAULT")]
+    assert rows(db.execute("SELECT constraint_type, count(*) FROM information_schema.table_constraints WHERE table_name = 'k' GROUP BY 1 ORDER BY 1")) == [("CHECK", 1), ("FOREIGN KEY", 1), ("PRIMARY KEY", 1), ("UNIQUE", 1)]
+    assert rows(db.execute("SELECT a.attname FROM pg_catalog.pg_class c JOIN pg_attribute a ON a.attrelid = c.oid WHERE c.relname = 'p' ORDER BY a.attnum")) == [("id",), ("name",)]
+    assert rows(db.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'k' ORDER BY ordinal_position")) == [("id",), ("p_id",)]
