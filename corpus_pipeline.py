@@ -39,8 +39,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality rules", quality_stage), ("near duplicates", near_stage), ("personal data", pii_stage), ("packing", packing_stage)]
 
-#: No stage can be said in SQL.  Each stage's operator is held against brute force by its own tests; the
-#: pipeline's test only compares the stages' rows.
+#: No stage can be said in SQL.  The rows of a small fixture are held against brute force, stage by stage, by the
+#: pipeline's test; each stage's operator is held against it by its own tests.
 ORACLE_SQL = None
 
 
