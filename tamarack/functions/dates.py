@@ -115,8 +115,13 @@ def _wants_fraction(modifiers: tuple[str, ...]) -> bool:
     return any(m.lower() in ("subsec", "subsecond") for m in modifiers)
 
 
+def dated(t: Column, form: str) -> Column:
+    """A timestamp in a form that begins with the year; years beyond 9999 have no sign."""
+    return F.ltrim(F.date_format(t, form), F.lit("+"))
+
+
 def date(value: Column, *modifiers: str) -> Column:
-    return F.date_format(moment(value, *modifiers), "yyyy-MM-dd")
+    return dated(moment(value, *modifiers), "yyyy-MM-dd")
 
 
 def time(value: Column, *modifiers: str) -> Column:
@@ -124,7 +129,7 @@ def time(value: Column, *modifiers: str) -> Column:
 
 
 def datetime(value: Column, *modifiers: str) -> Column:
-    return F.date_format(moment(value, *modifiers), "yyyy-MM-dd HH:mm:ss.SSS" if _wants_fraction(modifiers) else "yyyy-MM-dd HH:mm:ss")
+    return dated(moment(value, *modifiers), "yyyy-MM-dd HH:mm:ss.SSS" if _wants_fraction(modifiers) else "yyyy-MM-dd HH:mm:ss")
 
 
 def julianday(value: Column, *modifiers: str) -> Column:
@@ -149,11 +154,11 @@ def _strftime(form: str, t: Column) -> Column:
     hour12 = F.pmod(F.hour(t) + 11, F.lit(12)) + 1
     half = F.when(F.hour(t) < 12, "AM").otherwise("PM")
     codes = {
-        "d": fmt("dd"), "e": pad(F.dayofmonth(t), 2, " "), "f": fmt("ss.SSS"), "F": fmt("yyyy-MM-dd"), "g": pad(iso_year % 100, 2), "G": pad(iso_year, 4),
+        "d": fmt("dd"), "e": pad(F.dayofmonth(t), 2, " "), "f": fmt("ss.SSS"), "F": dated(t, "yyyy-MM-dd"), "g": pad(iso_year % 100, 2), "G": F.when(iso_year > 9999, iso_year.cast("string")).otherwise(pad(iso_year, 4)),
         "H": fmt("HH"), "I": pad(hour12, 2), "j": pad(day_of_year, 3), "J": julian_text(t), "k": pad(F.hour(t), 2, " "), "l": pad(hour12, 2, " "),
         "m": fmt("MM"), "M": fmt("mm"), "p": half, "P": F.lower(half), "R": fmt("HH:mm"), "s": F.unix_seconds(_instant(t)).cast("string"), "S": fmt("ss"),
         "T": fmt("HH:mm:ss"), "u": (F.pmod(weekday + 6, F.lit(7)) + 1).cast("string"), "U": pad(F.floor((day_of_year + 6 - weekday) / 7), 2),
-        "V": pad(F.weekofyear(t), 2), "w": weekday.cast("string"), "W": pad(F.floor((day_of_year + 6 - F.pmod(weekday + 6, F.lit(7))) / 7), 2), "Y": fmt("yyyy"), "%": F.lit("%"),
+        "V": pad(F.weekofyear(t), 2), "w": weekday.cast("string"), "W": pad(F.floor((day_of_year + 6 - F.pmod(weekday + 6, F.lit(7))) / 7), 2), "Y": dated(t, "yyyy"), "%": F.lit("%"),
     }
     parts = [codes.get(x[1:], F.lit(x)) if x.startswith("%") else F.lit(x) for x in re.findall(r"%.|[^%]+|%$", form, re.S)]
     return F.when(t.isNotNull(), F.concat(*parts)) if parts else F.when(t.isNotNull(), F.lit(""))

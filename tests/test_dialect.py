@@ -156,3 +156,9 @@ def test_set_default_and_relations(spark):
     assert rows(db.execute("SELECT constraint_type, count(*) FROM information_schema.table_constraints WHERE table_name = 'k' GROUP BY 1 ORDER BY 1")) == [("CHECK", 1), ("FOREIGN KEY", 1), ("PRIMARY KEY", 1), ("UNIQUE", 1)]
     assert rows(db.execute("SELECT a.attname FROM pg_catalog.pg_class c JOIN pg_attribute a ON a.attrelid = c.oid WHERE c.relname = 'p' ORDER BY a.attnum")) == [("id",), ("name",)]
     assert rows(db.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'k' ORDER BY ordinal_position")) == [("id",), ("p_id",)]
+
+
+def test_years_beyond_9999_have_no_sign(spark):
+    db = Database(spark, "far")
+    got = db.execute("SELECT date(253402300799, 'unixepoch') AS a, datetime(253402300800, 'unixepoch') AS b").head()
+    assert tuple(got) == ("9999-12-31", "10000-01-01 00:00:00")

@@ -59,6 +59,14 @@ def test_division(spark):
     assert value(spark, numbers.real_div(F.lit(7), F.lit(2))) == 3.5
 
 
+def test_years_beyond_9999_have_no_sign(spark):
+    day = F.lit("11460310.25")
+    assert value(spark, dates.datetime(day)) == "26665-02-28 18:00:00"
+    assert value(spark, dates.date(day)) == "26665-02-28"
+    assert value(spark, dates.strftime("%F|%Y|%G", day)) == "26665-02-28|26665|26665"
+    assert value(spark, dates.datetime(F.lit("5373484"))) == "9999-12-31 12:00:00"
+
+
 def test_shifts_and_casts(spark):
     assert value(spark, numbers.shift_left(F.lit(1), F.lit(64))) == 0
     assert value(spark, numbers.shift_right(F.lit(-1), F.lit(70))) == -1
