@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.recursive import written
+from ..operators.numbering import numbered
 
 
 class ConstraintError(ValueError):
@@ -124,20 +124,10 @@ def rename_column(table: DataFrame, old: str, new: str) -> DataFrame:
 def next_ids(table: DataFrame, rows: DataFrame, key: str, order: Column, parts: int = 200) -> DataFrame:
     """AUTOINCREMENT: ids after the greatest one, in ``order``.
 
-    Rows are dealt into ranges, numbered there, and shifted by the counts of the ranges
-    before, so no task sees all rows.  Only one count a range reaches the driver.
+    No task sees all rows (``numbered``).
     """
     start = table.agg(F.max(key)).head()[0] or 0
-    ranged = rows.withColumn("__o", order).repartitionByRange(parts, "__o").withColumn("__p", F.spark_partition_id())
-    ranged = written(ranged)
-    before, shift = {}, 0
-    for r in ranged.groupBy("__p").count().orderBy("__p").collect():
-        before[r["__p"]], shift = shift, shift + r["count"]
-    if not before:
-        return rows.withColumn(key, F.lit(None).cast("bigint"))
-    shifts = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__p"))
-    number = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
-    return ranged.withColumn(key, (number + shifts + start).cast("bigint")).drop("__o", "__p")
+    return numbered(rows.withColumn("__o", order), key, F.col("__o").asc(), parts=parts, start=start).drop("__o")
 
 
 def violations(table: DataFrame, not_null: Sequence[str] = (), unique: Sequence[Sequence[str]] = (), checks: Mapping[str, Column] | None = None, references: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:

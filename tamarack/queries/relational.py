@@ -1,7 +1,8 @@
 """Scans, projection, predicates, joins, aggregation, windows, sorting, set operations and CTEs.
 
 These are plain SQL: Catalyst plans them, and the same or the equivalent text runs on the
-comparison engine.
+comparison engine.  Numbers over a whole table are built by ``operators.numbering`` instead,
+since a window without partitions is one task.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import register
+from ..operators.numbering import first_numbered, numbered
+from ..session import register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,13 +27,13 @@ def _tables(sql: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
 
 
-def add(name: str, sql: str, other: str | None = None) -> None:
+def add(name: str, sql: str, other: str | None = None, frame: Callable[[SparkSession, str], DataFrame] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, *_tables(sql))
         return spark.sql(sql)
 
     run.__name__ = name
-    QUERIES[name], ORACLE_SQL[name] = run, other or sql
+    QUERIES[name], ORACLE_SQL[name] = frame or run, other or sql
 
 
 # Scans
@@ -122,13 +125,23 @@ add("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GR
 add("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 add("spread", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag")
 # Windows
+def _row_number_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.nullif("quality", F.lit(0)).alias("q"))
+    return numbered(labels, "n", F.col("q").asc_nulls_last(), F.col("doc_id").asc()).select("doc_id", "n")
+
+
+def _window_then_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return first_numbered(orders, "n", 10, F.col("o_orderkey").desc()).orderBy("n")
+
+
 add("row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders")
-add("row_number_nulls", "SELECT doc_id, row_number() OVER (ORDER BY NULLIF(quality, 0) ASC NULLS LAST, doc_id) AS n FROM labels")
+add("row_number_nulls", "SELECT doc_id, row_number() OVER (ORDER BY NULLIF(quality, 0) ASC NULLS LAST, doc_id) AS n FROM labels", frame=_row_number_nulls)
 add("rank_functions", "SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS t FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)")
 add("lag_lead", "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role, 1, 'end') OVER w AS after, first_value(role) OVER w AS first FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 add("running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 add("moving_frame", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS m, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM events")
-add("window_then_limit", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders ORDER BY n LIMIT 10")
+add("window_then_limit", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders ORDER BY n LIMIT 10", frame=_window_then_limit)
 add("best_of_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) t WHERE n <= 2")
 # Sorting and limits
 add("order_nulls_first", "SELECT doc_id, NULLIF(toxic, 0) AS t FROM labels ORDER BY t ASC NULLS FIRST, doc_id LIMIT 20")

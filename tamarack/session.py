@@ -34,6 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+#: Bytes of source files whose rows one task may hold to sort them; they take ten times that and more.
+PART_BYTES = 8 << 20
+
+
+def width(*frames: DataFrame) -> int:
+    """Into how many parts of PART_BYTES the sources of plans go, so that tasks stay as large
+    when tables grow; 0 where a source doesn't know its size."""
+    total = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return 0 if total >= 1 << 62 else -(-total // PART_BYTES)
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Makes tables of a folder views of the session; a query keeps what it was analysed with."""
     for name in names or TABLES:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators.joins import asof_join, range_join
+from tamarack.operators.numbering import first_numbered, numbered
 from tamarack.operators.recursive import fixpoint
 from tamarack.plans import dml
 from tamarack.sources import files
@@ -56,6 +57,33 @@ def test_ids_follow_on(people):
     assert sorted((r["name"], r["id"]) for r in got.collect()) == [("ann", 4), ("bob", 5), ("cat", 6)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_numbers_over_a_whole_table(spark):
+    rows = [(i, None if i % 3 == 0 else i * 7919 % 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint").repartition(5)
+    got = numbered(df, "n", c("v").asc_nulls_last(), c("k").desc(), parts=7, start=10)
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, -r[0]))
+    assert sorted(tuple(r) for r in got.select("n", "k", "v").collect()) == [(i + 11, *r) for i, r in enumerate(want)]
+    assert "SinglePartition" not in plan_of(got)
+    assert numbered(df.filter("k < 0"), "n", c("k")).collect() == []
+    first = first_numbered(df, "n", 3, c("k").desc())
+    assert sorted((r["n"], r["k"]) for r in first.collect()) == [(1, 999), (2, 998), (3, 997)]
+
+
+def test_no_query_sorts_a_whole_table_in_one_task(spark):
+    """Before a window over all rows each task keeps its first ones."""
+    from tamarack.queries import QUERIES
+
+    plan = plan_of(QUERIES["window_then_limit"](spark, "/root/testdata/sf0.001"))
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert 0 < physical.index("Window") < physical.index("TakeOrderedAndProject") < physical.index("FileScan")
+    assert "SinglePartition" not in physical
+    assert "SinglePartition" not in plan_of(QUERIES["row_number_nulls"](spark, "/root/testdata/sf0.001"))
+
+
 def test_fixpoint_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "a bigint, b bigint")
     got = fixpoint(spark.range(1, 2).toDF("n"), lambda d: d.join(edges, d["n"] == edges["a"]).select(c("b").alias("n")))
