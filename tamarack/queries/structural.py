@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -205,8 +206,6 @@ def csv_round_trip(spark, sf_dir):
 
 
 def _fresh(path: str, write) -> str:
-    import uuid
-
     path = f"{path}/{uuid.uuid4().hex}"
     write(path)
     return path
@@ -241,9 +240,10 @@ def rowid(spark, sf_dir):
 
 # Streams, drained and compared with the batch answer
 def _streamed(spark, sf_dir, operator, mode: str = "append"):
-    source = _fresh(f"{shared_folder(spark)}/events", lambda p: table(spark, sf_dir, "events").repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(p))
+    source = f"{shared_folder(spark)}/events/{uuid.uuid4().hex}"
+    batch_files = stream.write_events(table(spark, sf_dir, "events"), source)
     folder = _fresh(f"{shared_folder(spark)}/streams", lambda p: None)
-    stream.drain(operator(stream.read_events(spark, source)), folder, mode)
+    stream.drain(operator(stream.read_events(spark, source, batch_files)), folder, mode)
     return spark.read.parquet(f"{folder}/rows")
 
 

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+#: Rows of a file written for a stream, and files of a batch: a batch's ids are state, so both bound it.
+FILE_ROWS, BATCH_FILES = 500_000, 8
+
+
+def write_events(events: DataFrame, folder: str, file_rows: int = FILE_ROWS, batch_files: int = BATCH_FILES) -> int:
+    """Writes a table as files that a stream takes in the order of ``ts``; returns how many files a batch may have.
+
+    Each file is a range of time; their rows needn't be sorted, for watermarks move between
+    batches.  A stream takes files by modification time, so those are set in the order of the
+    ranges.  Where the store doesn't keep them so, one batch takes all files, since rows of
+    a batch out of order would count as late.
+    """
+    parts = max(1, -(-events.count() // file_rows))
+    events.repartitionByRange(parts, "ts", "event_id").write.option("maxRecordsPerFile", 0).parquet(folder)
+    spark = events.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda: sorted((f for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    files = listed()
+    times = [files[0].getModificationTime() // 1000 * 1000 + 1000 * i for i in range(len(files))] if files else []
+    try:
+        for f, at in zip(files, times):
+            fs.setTimes(f.getPath(), at, -1)
+        kept = [f.getModificationTime() for f in listed()] == times
+    except Py4JJavaError:
+        kept = False
+    return batch_files if kept else max(1, len(files))
+
+
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of the Parquet files of a folder, with ``at`` as event time."""
     events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)

@@ -142,6 +142,23 @@ def test_stream_gives_the_batch_answer(spark, tmp_path):
     assert {r["n"] for r in got.collect()} <= {r["n"] for r in batch.collect()}
 
 
+def test_stream_of_many_files_in_order(spark, tmp_path):
+    """Ranges of time in several batches: no row is late, and no task sorts all rows."""
+    rows = [(i, f"2024-01-{i * 37 % 28 + 1:02d} {i % 24:02d}:00:00", i % 3, "click", 1.0, "{}") for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", c("ts").cast("timestamp_ntz")).repartition(3)
+    source = f"file://{tmp_path}/in"
+    assert stream.write_events(df, source, file_rows=100, batch_files=2) == 2
+    files = sorted((tmp_path / "in").glob("part-*"))
+    assert len(files) == 6
+    assert [f.name for f in sorted(files, key=lambda f: f.stat().st_mtime)] == [f.name for f in files]
+    spans = [spark.read.parquet(f"file://{f}").agg({"ts": "min"}).head()[0] for f in files]
+    assert spans == sorted(spans)
+    twice = stream.read_events(spark, source, 2)
+    stream.drain(stream.first_of_each(twice.union(twice), "1 hour"), f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out" / "_state" / "offsets").glob("[0-9]*"))) >= 3
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"file://{tmp_path}/out/rows").collect()) == list(range(600))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
