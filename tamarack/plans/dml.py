@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
+from ..session import width
 
 
 class ConstraintError(ValueError):
@@ -38,20 +39,64 @@ def insert(table: DataFrame, rows: DataFrame, **how) -> DataFrame:
     return table.unionByName(with_defaults(rows, table, **how))
 
 
-def _last_of_each(rows: DataFrame, keys: Sequence[str], order: Column | None, last: bool = True) -> DataFrame:
-    order = order if order is not None else F.monotonically_increasing_id()
-    rows = rows.withColumn("__o", order)
-    w = Window.partitionBy(*keys).orderBy(F.col("__o").desc() if last else F.col("__o").asc())
+def _parts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by keys into parts whose number follows the size of the sources.
+
+    Small tables are left to adaptive plans, as are sources that don't know their size.
+    """
+    parts = width(rows)
+    return rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism), *keys) if parts > 1 else rows
+
+
+def _order(rows: DataFrame, order: Column | None) -> DataFrame:
+    return rows.withColumn("__o", order if order is not None else F.monotonically_increasing_id())
+
+
+def _free(keys: Sequence[str]) -> Column:
+    """Whether a key is null: such rows conflict with none."""
     free = F.lit(False)
     for k in keys:
         free = free | F.col(k).isNull()
-    return rows.withColumn("__n", F.row_number().over(w)).filter(free | (F.col("__n") == 1)).drop("__o", "__n")
+    return free
+
+
+def _alone(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Gives each row with a null key a group of its own, so that they don't gather in one task."""
+    return rows.withColumn("__alone", F.when(_free(keys), F.monotonically_increasing_id()))
+
+
+def _last_of_each(rows: DataFrame, keys: Sequence[str], order: Column | None) -> DataFrame:
+    rows = _parts(_alone(_order(rows, order), keys), [*keys, "__alone"])
+    w = Window.partitionBy(*keys, "__alone").orderBy(F.col("__o").desc())
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__o", "__n", "__alone")
+
+
+def _first_of_each(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """Of each key the first row in ``order``; rows with a null key match nothing and aren't there."""
+    rows = _parts(_order(rows, order).filter(~_free(keys)), keys)
+    w = Window.partitionBy(*keys).orderBy("__o")
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__o", "__n")
+
+
+def _by_key(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None, last: bool) -> DataFrame:
+    """Old and new rows side by side in one shuffle by key, so neither is computed twice or joined.
+
+    __new tells them apart.  __n numbers the rows of a key: with ``last`` new rows come first,
+    the last of them leading; else old rows, then the new ones in order.  __met is __new of the
+    row that leads.  Rows with a null key stand alone.
+    """
+    old = table.withColumn("__o", F.lit(None)).withColumn("__new", F.lit(False))
+    both = old.unionByName(_order(rows, order).withColumn("__new", F.lit(True)))
+    both = _parts(_alone(both, keys), [*keys, "__alone"])
+    side, place = (F.col("__new").desc(), F.col("__o").desc()) if last else (F.col("__new").asc(), F.col("__o").asc())
+    w = Window.partitionBy(*keys, "__alone").orderBy(side, place).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__n", F.row_number().over(w)).withColumn("__met", F.first("__new").over(w))
 
 
 def not_there(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """The rows that INSERT OR IGNORE inserts: of each new key the first row."""
-    rows = _last_of_each(with_defaults(rows, table), keys, order, last=False)
-    return rows.join(table.select(*keys), list(keys), "left_anti").select(table.columns)
+    old = table.select(*[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    return _by_key(old, with_defaults(rows, table), keys, order, last=False).filter("__new AND __n = 1").select(table.columns)
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
@@ -61,8 +106,7 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], ord
 
 def insert_or_replace(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """Rows with the key of a new row go; of new rows with one key the last stays."""
-    rows = _last_of_each(with_defaults(rows, table), keys, order)
-    return table.join(rows.select(*keys), list(keys), "left_anti").select(table.columns).unionByName(rows)
+    return _by_key(table, with_defaults(rows, table), keys, order, last=True).filter("NOT __met OR (__new AND __n = 1)").select(table.columns)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], changes: Mapping[str, Column], where: Column | None = None, mark: str | None = None) -> DataFrame:
@@ -94,7 +138,7 @@ def update(table: DataFrame, changes: Mapping[str, Column], where: Column | None
 
 def update_from(table: DataFrame, source: DataFrame, keys: Sequence[str], changes: Mapping[str, Column], order: Column) -> DataFrame:
     """UPDATE ... FROM: of several matching source rows the first in ``order`` counts."""
-    first = _last_of_each(source, keys, order, last=False).withColumn("__hit", F.lit(True)).alias("source")
+    first = _first_of_each(source, keys, order).withColumn("__hit", F.lit(True)).alias("source")
     target = table.alias("target")
     joined = target.join(first, [F.col(f"target.{k}") == F.col(f"source.{k}") for k in keys], "left")
     return joined.select(*[F.when(F.col("__hit"), changes[f.name]).otherwise(F.col(f"target.{f.name}")).cast(f.dataType).alias(f.name) if f.name in changes else F.col(f"target.{f.name}").alias(f.name) for f in table.schema.fields])

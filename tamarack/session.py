@@ -38,13 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PART_BYTES = 8 << 20
 
 
-def width(*frames: DataFrame) -> int:
-    """Into how many parts of PART_BYTES the sources of plans go, so that tasks stay as large
+def width(df: DataFrame) -> int:
+    """Into how many parts of PART_BYTES the sources of a plan go, so that tasks stay as large
     when tables grow; 0 where a source doesn't know its size."""
-    total = 0
-    for df in frames:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return 0 if total >= 1 << 62 else -(-total // PART_BYTES)
 
 

@@ -31,6 +31,30 @@ def test_upsert_and_conflicts(spark, people):
     assert pairs(dml.insert_or_replace(people, rows, ["id"])) == [(1, "ann", 30), (2, "BOB", 1), (3, "cat", 50), (9, "new", 2)]
 
 
+def test_conflicts_over_many_parts(spark, people, tmp_path, monkeypatch):
+    """One shuffle by key in parts that follow the sources' size; null keys conflict with none."""
+    monkeypatch.setattr("tamarack.session.PART_BYTES", 500)
+    old = [(i, f"o{i}", i) for i in range(0, 300, 2)] + [(None, "old", 0), (7, "twin", 1), (7, "twin", 2)]
+    new = [(i, f"n{i}.{j}", j) for i in range(100, 400, 3) for j in range(i % 3 + 1)] + [(None, "a", 1), (None, "b", 2)]
+    for name, rows in (("old", old), ("new", new)):
+        spark.createDataFrame(rows, people.schema).repartition(5).write.parquet(f"file://{tmp_path}/{name}")
+    table, rows = (spark.read.parquet(f"file://{tmp_path}/{n}") for n in ("old", "new"))
+    had, given = {r[0] for r in old}, {r[0] for r in new}
+    last = {r[0]: r for r in new if r[0] is not None}
+    first = {r[0]: r for r in reversed(new) if r[0] is not None}
+    free = [r for r in new if r[0] is None]
+    replaced = dml.insert_or_replace(table, rows, ["id"], order=c("age"))
+    assert pairs(replaced) == sorted([r for r in old if r[0] is None or r[0] not in given] + list(last.values()) + free, key=str)
+    ignored = dml.insert_or_ignore(table, rows, ["id"], order=c("age"))
+    assert pairs(ignored) == sorted(old + [r for k, r in first.items() if k not in had] + free, key=str)
+    assert pairs(dml._last_of_each(rows, ["id"], c("age"))) == sorted(list(last.values()) + free, key=str)
+    changed = dml.update_from(table, rows, ["id"], {"name": c("source.name")}, c("age"))
+    assert pairs(changed) == sorted([(r[0], first[r[0]][1] if r[0] in first else r[1], r[2]) for r in old], key=str)
+    plan = plan_of(replaced)
+    plan = plan[plan.index("== Physical Plan ==") :]
+    assert plan[plan.rindex("Initial Plan") :].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
 def test_update_and_delete_with_null_conditions(people):
     assert pairs(dml.update(people, {"age": c("age") + 1}, c("age") > 20)) == [(1, "ann", 31), (2, "bob", None), (3, "cat", 51)]
     assert pairs(dml.delete(people, c("age") > 20)) == [(2, "bob", None)]
